@@ -62,12 +62,13 @@ def exact_quantiles(
             F.lit(only["_min"]).alias("_min"),
             F.lit(only["_max"]).alias("_max"),
         )
+    few = F.col("n") < 2 * ACCURACY  # the slack must span a few whole ranks
     brackets = [
         F.struct(
             F.lit(i).alias("i"),
             F.lit(float(p)).alias("p"),
-            (F.col("_min") if p - slack <= 0 else F.col("_lo")[i]).alias("lo"),
-            (F.col("_max") if p + slack >= 1 else F.col("_hi")[i]).alias("hi"),
+            (F.col("_min") if p - slack <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_lo")[i])).alias("lo"),
+            (F.col("_max") if p + slack >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_hi")[i])).alias("hi"),
         )
         for i, p in enumerate(probs)
     ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_queries():
     """Import every query module once and return (queries, oracles)."""
-    from provspark.plans import metric_queries  # noqa: F401
+    from provspark.plans import curation_queries, dedup_queries, metric_queries  # noqa: F401
     from provspark.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -40,9 +40,8 @@ VIEWS: dict[str, str] = {
                     THEN CASE WHEN user_id < 75 THEN 'm_val' ELSE 'm_test' END
                     WHEN event_type = 'purchase' THEN 'k_gen' ELSE 'k_kanal' END AS kind,
                'd1' AS detector, user_id AS user_id, ts AS ts,
-               value / CAST(20 AS DOUBLE)
-                 + CASE WHEN event_type IN ('purchase', 'error') THEN CAST(6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
-                 AS score
+               round(value / CAST(20 AS DOUBLE) + CASE WHEN event_type IN ('purchase', 'error')
+                     THEN CAST(6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, 6) AS score
         FROM events""",
     # d1 as is, d2 tie-heavy, d3 at its maximum for most rows
     "detectors": """
@@ -55,6 +54,22 @@ VIEWS: dict[str, str] = {
         SELECT user_id AS channel, event_id AS msg, date_trunc('hour', ts) AS ts,
                CASE WHEN value < CAST(60 AS DOUBLE) THEN props ELSE '' END AS text, event_type = 'error' AS via_bot
         FROM events""",
+    # file names as exports write them, some undated, some without resolution
+    "files": """
+        SELECT o_orderkey AS file_id, o_custkey AS owner, o_orderstatus AS source, o_totalprice AS size,
+               CAST(o_orderdate AS DATE) AS day,
+               concat('photo_', CAST(o_orderkey AS STRING),
+                 CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE concat('@',
+                   lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'),
+                   '-', CAST(year(o_orderdate) AS STRING), '_10-11-12') END,
+                 CASE WHEN o_orderpriority = '5-LOW' THEN ''
+                      ELSE concat('_', CAST(o_custkey % 3000 + 1500 AS STRING), 'x1080') END, '.jpg') AS name
+        FROM orders""",
+    "prompts": """
+        SELECT doc_id, n_chars, concat(text, CASE n_chars % 8 WHEN 0 THEN ' --v 5.2' WHEN 1 THEN ' --niji 6'
+                 WHEN 2 THEN ' --testp' WHEN 3 THEN ' Version Midjourney: 4' WHEN 4 THEN ' --version 6'
+                 WHEN 5 THEN ' midjourney v3.1' WHEN 6 THEN ' --v test --v 4' ELSE '' END) AS text
+        FROM documents""",
     "features": """
         SELECT vec_id AS item_id, label AS grp, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label, embedding
         FROM embeddings""",

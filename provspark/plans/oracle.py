@@ -56,3 +56,28 @@ SPLIT = """
     neg AS (SELECT detector, grp, score FROM detectors WHERE kind = 'm_val'),
     mt AS (SELECT detector, grp, kind, CASE WHEN kind = 'm_test' THEN 1 ELSE 0 END AS neg, score
            FROM detectors WHERE kind <> 'm_val')"""
+
+
+def crc32_sql(key: str) -> str:
+    """CRC-32 of an ASCII string expression, bit by bit."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({key}) + 1), "
+        f"lambda i: ascii(substr({key}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), "
+        "[0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) "
+        "ELSE a >> 1 END)), 4294967295::BIGINT)"
+    )
+
+
+def split_sql(key: str, modulus: int, test: str, val: str) -> str:
+    """CASE over the bucket ``b`` of the key."""
+    b = f"({crc32_sql(key)} % {modulus})"
+    return f"CASE WHEN {b} {test} THEN 'test' WHEN {b} {val} THEN 'val' ELSE 'train' END"
+
+
+def hash60_sql(*parts: str) -> str:
+    joined = ", ".join(parts)
+    return f"('0x' || substr(md5(concat_ws(':', {joined})), 1, 15))::BIGINT"
+
+
+def uniform_sql(*parts: str) -> str:
+    return f"({hash60_sql(*parts)} / 1152921504606846976.0::DOUBLE)"
