@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from provspark.operators.ranks import average_ranks, value_counts
 from provspark.operators.scan import scan
 from provspark.operators.thresholds import roc_bracket
+from provspark.session import settle
 
 MACRO = {"k_gen": "mixed generators", "k_kanal": "mixed channels"}
 
@@ -45,12 +46,12 @@ def auc_by_group(
         .agg(F.sum("_neg").alias("_neg"))
     )
     placed = scan(scores, keys, "score", {"_upto": ("sum", F.col("_neg"))})
-    total = negatives.groupBy(*keys).agg(F.count("score").alias("n_neg"))
+    total = settle(negatives.groupBy(*keys).agg(F.count("score").alias("n_neg")))
     wins = F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2.0)
     joined = pos.join(placed, [*keys, "score"]).groupBy(*keys, *groups).agg(
         F.sum(wins).alias("_u"), F.sum("_pos").alias("n_pos")
     )
-    joined = joined.join(total, keys) if keys else joined.join(F.broadcast(total))
+    joined = joined.join(total, keys) if keys else joined.withColumn("n_neg", F.lit(total.first()["n_neg"]))
     return joined.select(
         *keys, *groups, (F.col("_u") / (F.col("n_neg") * F.col("n_pos"))).alias("auc"), "n_neg", "n_pos"
     )
@@ -113,7 +114,7 @@ def macro_mean(metrics: DataFrame, value: str, kinds: Sequence[str], keys: Seque
 def rank_fusion(scores: DataFrame) -> DataFrame:
     """Sum over detectors of (average rank / rows): one fused score per item."""
     ranks = average_ranks(scores, ["detector"], "score")
-    sizes = scores.groupBy("detector").agg(F.count("score").alias("_size"))
+    sizes = settle(scores.groupBy("detector").agg(F.count("score").alias("_size")))
     return (
         scores.join(ranks.select("detector", "score", "avg_rank"), ["detector", "score"])
         .join(sizes, "detector")

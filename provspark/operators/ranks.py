@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.scan import scan, split_points
-from provspark.session import cut_lineage
+from provspark.session import settle
 
 ACCURACY = 10_000
 
@@ -31,14 +31,14 @@ def exact_quantiles(
 
     One pass sketches a bracket around every wanted position. Rows below their bracket collapse map-side into one
     count, rows above it are dropped, and only the distinct values inside are shuffled and scanned. The brackets are
-    checkpointed, because a sketch merged in another order after a retry could differ.
+    settled first, because a sketch merged in another order after a retry could differ.
     """
     keys = list(keys)
     x = F.col(value).cast("double")
     rows = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     slack = 2.0 / ACCURACY
     lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
-    sketch = cut_lineage(
+    sketch = settle(
         rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("_x", lows, ACCURACY).alias("_lo"),

@@ -11,6 +11,7 @@ from provspark.functions.numeric import logit
 from provspark.operators import metrics as M
 from provspark.operators import thresholds as T
 from provspark.operators.ranks import exact_quantiles
+from provspark.session import settle
 
 
 def rate_of(condition: Column) -> Column:
@@ -75,8 +76,8 @@ def benchmark(scores: DataFrame, fpr: float) -> DataFrame:
     Detectors whose scores all lie in [0, 1] are taken through the logit. Threshold: mean false-positive rate over the
     validation groups; false positives on the test groups; hits and AUC per machine group; macro rows.
     """
-    span = scores.groupBy("detector").agg(
-        ((F.min("score") >= 0) & (F.max("score") <= 1)).alias("_probability")
+    span = settle(
+        scores.groupBy("detector").agg(((F.min("score") >= 0) & (F.max("score") <= 1)).alias("_probability"))
     )
     z = scores.join(span, "detector").withColumn(
         "score", F.when(F.col("_probability"), logit(F.col("score"), 1e-7)).otherwise(F.col("score"))
@@ -174,11 +175,10 @@ def vote(
 def best_by(metrics: DataFrame, metric: str) -> DataFrame:
     """The best detector by mean over groups, and the best detector inside each group; ties go to the first name."""
     means = metrics.groupBy("detector").agg(F.avg(metric).alias(metric))
-    first_name = F.struct(F.col(metric).alias("m"), F.col("detector").alias("d"))
 
     def pick(df: DataFrame, keys: list[str]) -> DataFrame:
         top = df.groupBy(*keys).agg(F.max(metric).alias("m"))
-        joined = df.join(top, keys) if keys else df.join(F.broadcast(top))
+        joined = df.join(top, keys) if keys else df.withColumn("m", F.lit(top.first()["m"]))
         return joined.where(F.col(metric) == F.col("m")).groupBy(*keys, metric).agg(F.min("detector").alias("detector"))
 
     overall = pick(means, []).select(F.lit("overall").alias("scope"), F.lit("*").alias("grp"), "detector", metric)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provspark.operators.ranks import ACCURACY, exact_quantiles, value_counts
 from provspark.operators.scan import scan
+from provspark.session import settle
 
 TOLERANCE = 1e-12
 
@@ -19,7 +20,7 @@ TOLERANCE = 1e-12
 def threshold_quantile(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str] = ("detector",)) -> DataFrame:
     """The linear-interpolated (1 - fpr) quantile of the pooled negatives; one row per key and target."""
     wide = exact_quantiles(negatives, keys, "score", [1.0 - f for f in fpr], prefix="t")
-    return _long(wide, keys, fpr)
+    return _long(settle(wide), keys, fpr)
 
 
 def _long(wide: DataFrame, keys: Sequence[str], fpr: Sequence[float]) -> DataFrame:
@@ -41,8 +42,10 @@ def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
         steps.append(steps[-1] * 2)
     slack = 2.0 / ACCURACY
     probs = [max(0.0, 1.0 - fpr * s - slack) for s in steps]
-    per_group = negatives.groupBy("detector", "grp").agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("score", probs, ACCURACY).alias("_q")
+    per_group = settle(
+        negatives.groupBy("detector", "grp").agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx("score", probs, ACCURACY).alias("_q")
+        )
     )
     groups = per_group.groupBy("detector").agg(F.count(F.lit(1)).alias("_g"))
     sized = per_group.join(groups, "detector")
@@ -51,13 +54,12 @@ def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
         cut = F.col("_q")[i] if probs[i] > 0 else F.lit(float("-inf"))
         choice = F.when(F.col("_g") <= steps[i], cut).otherwise(choice)
     floors = sized.groupBy("detector").agg(F.max(F.coalesce(choice, F.lit(float("-inf")))).alias("_floor"))
-    weights = sized.select("detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share"))
-    return (
-        negatives.join(floors, "detector")
-        .where(F.col("score") >= F.col("_floor"))
-        .drop("_floor")
-        .join(weights, ["detector", "grp"])
+    plan = settle(
+        sized.join(floors, "detector").select(
+            "detector", "grp", "_floor", (1.0 / (F.col("_g") * F.col("_n"))).alias("share")
+        )
     )
+    return negatives.join(plan, ["detector", "grp"]).where(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
 def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFrame:
@@ -77,7 +79,7 @@ def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFram
     wide = ordered.groupBy("detector").agg(
         *[F.min(F.when(above <= f + TOLERANCE, F.col("score"))).alias(f"t{i}") for i, f in enumerate(fpr)]
     )
-    return _long(wide, ["detector"], fpr)
+    return _long(settle(wide), ["detector"], fpr)
 
 
 def cumulative_weight(negatives: DataFrame) -> DataFrame:
@@ -97,16 +99,30 @@ def cumulative_weight(negatives: DataFrame) -> DataFrame:
     return ordered.select("detector", "score", "w", (F.col("from_top") - F.col("w")).alias("above"))
 
 
-def kth_largest(df: DataFrame, keys: Sequence[str], value: str, count_of: str) -> DataFrame:
+def _tail(df: DataFrame, keys: Sequence[str], value: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """(rows that hold at least the top ``share`` of each key, row totals per key); the cut comes from a sketch."""
+    keys = list(keys)
+    prob = max(0.0, 1.0 - share - 2.0 / ACCURACY)
+    known = df.where(F.col(value).isNotNull())
+    stats = settle(
+        known.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("total"), F.percentile_approx(value, prob, ACCURACY).alias("_cut")
+        )
+    )
+    few = F.col("total") < 2 * ACCURACY
+    kept = known.join(stats.select(*keys, "total", "_cut"), keys).where(few | (F.col(value) >= F.col("_cut")))
+    return kept.drop("total", "_cut"), stats.select(*keys, "total")
+
+
+def kth_largest(df: DataFrame, keys: Sequence[str], value: str, count_of: str, share: float) -> DataFrame:
     """The k-th largest value per key, k given per key as a SQL expression over the row count ``total``.
 
-    Only rows above a sketched lower bound of the wanted position are counted and scanned.
+    ``share`` bounds k / total; rows below the top share are cut off before anything is shuffled.
     """
     keys = list(keys)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    rows, sizes = _tail(df, keys, value, share)
     wanted = sizes.withColumn("k", F.expr(count_of))
-    counted = value_counts(df, keys, value)
-    ordered = scan(counted, keys, value, {"from_top": ("sum", F.col("n"))}, descending=True)
+    ordered = scan(value_counts(rows, keys, value), keys, value, {"from_top": ("sum", F.col("n"))}, descending=True)
     return (
         ordered.join(wanted, keys)
         .where(F.col("from_top") >= F.col("k"))
@@ -117,8 +133,8 @@ def kth_largest(df: DataFrame, keys: Sequence[str], value: str, count_of: str) -
 
 def threshold_kth(negatives: DataFrame, fpr: float, keys: Sequence[str] = ("detector",)) -> DataFrame:
     """The max(1, round-half-even(fpr * n))-th largest negative; use it strictly (``score > kth``) or not (``>=``)."""
-    found = kth_largest(negatives, keys, "score", f"greatest(1, cast(bround({fpr!r}D * total, 0) as bigint))")
-    return found.select(*keys, F.col("total").alias("n"), "k", F.col("kth").alias("threshold"))
+    found = kth_largest(negatives, keys, "score", f"greatest(1, cast(bround({fpr!r}D * total, 0) as bigint))", fpr)
+    return settle(found.select(*keys, F.col("total").alias("n"), "k", F.col("kth").alias("threshold")))
 
 
 def roc_bracket(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str] = ("detector",)) -> DataFrame:
@@ -129,11 +145,11 @@ def roc_bracket(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str]
     sideways, so this is all that interpolation needs, whatever the number of positive groups.
     """
     keys = list(keys)
-    totals = negatives.where(F.col("score").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    counted = value_counts(negatives, keys, "score")
+    rows, totals = _tail(negatives, keys, "score", max(fpr))
+    counted = value_counts(rows, keys, "score")
     ordered = scan(counted, keys, "score", {"from_top": ("sum", F.col("n"))}, descending=True)
     targets = F.explode(F.array(*[F.lit(float(f)) for f in fpr]))
-    return (
+    return settle(
         ordered.join(totals, keys)
         .select(*keys, "score", "n", "from_top", "total", targets.alias("target"))
         .where(F.col("from_top") >= F.floor(F.col("target") * F.col("total")) + 1)

@@ -1,7 +1,6 @@
 """Training weights: balanced by class and source, covariates equalised, hard negatives raised; mean one.
 
-Counts are small tables (one row per class and source) joined back; the planner broadcasts them when they are small
-and splits a hot source otherwise.
+Counts are small tables (one row per class and source), settled and joined back without shuffling the rows.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.ranks import exact_quantiles
+from provspark.session import settle
 
 
 def _mean_one(df: DataFrame, weight: str) -> DataFrame:
@@ -28,12 +28,12 @@ def balanced_weights(df: DataFrame, mode: str, label: str = "label", source: str
         return _mean_one(df.withColumn(weight, F.when(F.col(label) == 0, F.lit(ratio)).otherwise(F.lit(1.0))), weight)
     if mode == "source":
         sizes = df.groupBy(source).agg((1.0 / F.count("*")).alias(weight))
-        return _mean_one(df.join(sizes, source), weight)
+        return _mean_one(df.join(settle(sizes), source), weight)
     if mode == "both":
         cells = df.groupBy(label, source).agg(F.count("*").alias("_rows"))
         classes = cells.groupBy(label).agg(F.count("*").alias("_sources"))
         shares = cells.join(classes, label).select(label, source, (0.5 / F.col("_sources") / F.col("_rows")).alias(weight))
-        return _mean_one(df.join(shares, [label, source]), weight)
+        return _mean_one(df.join(settle(shares), [label, source]), weight)
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -57,7 +57,7 @@ def equalise_covariate(
     factors = shares.join(target, covariate).select(
         label, covariate, F.least(F.lit(clip[1]), F.greatest(F.lit(clip[0]), F.col("_target") / F.col("_p"))).alias("_f")
     )
-    moved = df.join(factors, [label, covariate], "left").withColumn(
+    moved = df.join(settle(factors), [label, covariate], "left").withColumn(
         weight, F.col(weight) * F.coalesce(F.col("_f"), F.lit(1.0))
     )
     return _mean_one(moved.drop("_f"), weight)

@@ -52,5 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Fix a small intermediate table before it is joined to a large one.
+
+    Up to ``limit`` rows are taken into a local relation: its exact size lets the planner broadcast it, so the large
+    side is not shuffled, and every branch and retry sees the same rows. A larger table is checkpointed and joined as
+    any other.
+    """
+    taken = df.limit(limit + 1).toArrow()
+    if taken.num_rows <= limit:
+        return df.sparkSession.createDataFrame(taken, schema=df.schema)
+    return cut_lineage(df)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
