@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/provspark-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for iterative operators."""
     spark = df.sparkSession

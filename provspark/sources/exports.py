@@ -22,12 +22,13 @@ def read_html_export(spark: SparkSession, path: str) -> DataFrame:
     return html_pages(pages, "name")
 
 
-def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
+def read_chat_export(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
     """Messages of an export: (msg, date, text, photo, file, via_bot, forwarded_from), service entries dropped.
 
-    ``text`` may be a string or a list of strings and objects; it is read as VARIANT, so no schema is inferred.
+    ``text`` may be a string or a list of strings and objects; it is read as VARIANT, so no schema is inferred. With
+    ``wholetext`` off every line is an export of its own, so a large archive of exports is split between tasks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    whole = spark.read.text(path, wholetext=wholetext).select(F.parse_json("value").alias("doc"))
     entries = whole.select(
         F.try_variant_get("doc", "$.name", "string").alias("channel"),
         F.posexplode(F.try_variant_get("doc", "$.messages", "array<variant>")).alias("pos", "m"),
