@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from provspark.functions.vectors import let
+
 # Patterns whose matches must stay the same for equal results.
 FILE_DATE = r"@(\d\d)-(\d\d)-(\d{4})"
 RESOLUTION = r"_(\d{3,4})x(\d{3,4})"
@@ -189,16 +191,23 @@ def restricted_rating(rating: Column, unknown: bool = True) -> Column:
 
 
 def policy_entities(text: Column, entities: Sequence[str], series: Sequence[str] = ()) -> Column:
-    t = normalised(text)
-    return F.array_sort(F.filter(_strings([*entities, *series]), lambda term: F.contains(t, term)))
+    terms = _strings([*entities, *series])
+    return let(normalised(text), lambda t: F.array_sort(F.filter(terms, lambda term: F.contains(t, term))))
 
 
 def policy_words(prompt: Column, terms: Sequence[str]) -> Column:
     """Terms that occur as whole words or word sequences."""
     lowered = F.replace(F.lower(F.coalesce(prompt, F.lit(""))), F.lit("_"), F.lit(" "))
     words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), " "), F.lit(" "))
-    padded = lambda term: F.concat(F.lit(" "), F.replace(term, F.lit("_"), F.lit(" ")), F.lit(" "))
-    return F.array_sort(F.filter(_strings(terms), lambda term: F.contains(words, padded(term))))
+    padded = {" " + t.replace("_", " ") + " ": t for t in terms}
+    spelled, names = _strings(list(padded)), _strings(list(padded.values()))
+    pairs = F.arrays_zip(spelled.alias("padded"), names.alias("term"))
+    return let(
+        words,
+        lambda w: F.array_sort(
+            F.transform(F.filter(pairs, lambda p: F.contains(w, p["padded"])), lambda p: p["term"])
+        ),
+    )
 
 
 def credit_exempt(text: Column, credit: str) -> Column:
@@ -217,15 +226,17 @@ def ad_signals(
 ) -> Column:
     """Reasons why a post looks like an advertisement; empty for credited posts."""
     t = F.coalesce(text, F.lit(""))
-    slug6 = F.substring(F.lower(F.replace(channel, F.lit("_"), F.lit(""))), 1, 6)
 
-    def foreign(link: Column) -> Column:
-        mine = F.contains(F.replace(F.lower(link), F.lit("_"), F.lit("")), slug6)
-        for name in own:
-            mine = mine | F.contains(link, F.lit(name))
-        return ~mine
+    def foreign_to(slug6: Column) -> Column:
+        def foreign(link: Column) -> Column:
+            mine = F.contains(F.replace(F.lower(link), F.lit("_"), F.lit("")), slug6)
+            for name in own:
+                mine = mine | F.contains(link, F.lit(name))
+            return ~mine
+
+        return F.filter(F.regexp_extract_all(t, F.lit(LINK), F.lit(0)), foreign)
 
-    links = F.filter(F.regexp_extract_all(t, F.lit(LINK), F.lit(0)), foreign)
+    links = let(F.substring(F.lower(F.replace(channel, F.lit("_"), F.lit(""))), 1, 6), foreign_to)
     drawn = keep_known_tags(tags, graphic)
     reasons = F.array_compact(
         F.array(

@@ -77,17 +77,24 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
-def _trigram_counts(text: pd.Series) -> pd.Series:
-    def counts(t: str | None):
+def _trigram_counts(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    grams = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 1024 if len(c) >= 3 else np.zeros(0, dtype=np.int64)
+    return np.bincount(grams, minlength=1024).astype(np.float64)
+
+
+def _text_thumbs(text: pd.Series) -> pd.Series:
+    def thumb(t: str | None):
         if t is None:
             return None
-        c = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        grams = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 1024 if len(c) >= 3 else np.zeros(0, dtype=np.int64)
-        return np.bincount(grams, minlength=1024).astype(np.float32)
+        v = _trigram_counts(t)
+        v -= v.mean()
+        length = np.linalg.norm(v)
+        return v / length if length > 1e-3 else None
 
-    return text.map(counts)
+    return text.map(thumb)
 
 
-def hashed_trigrams(text: Column) -> Column:
-    """Counts of hashed character trigrams of the whole text in 1,024 bins."""
-    return F.pandas_udf(_trigram_counts, "array<float>")(text)
+def text_thumb(text: Column) -> Column:
+    """Mean-centred unit vector of the hashed character trigrams of the whole text (1,024 bins); null when flat."""
+    return F.pandas_udf(_text_thumbs, "array<double>")(text)

@@ -83,9 +83,9 @@ def benchmark(scores: DataFrame, fpr: float) -> DataFrame:
         "score", F.when(F.col("_probability"), logit(F.col("score"), 1e-7)).otherwise(F.col("score"))
     )
     thr = T.threshold_group_mean(z.where("kind = 'm_val'"), [fpr])
-    rates = M.exceed_rate(z.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"])
+    rates = settle(M.exceed_rate(z.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"]))
     machine = z.where("kind in ('k_gen', 'k_kanal')")
-    auc = M.auc_by_group(z.where("kind = 'm_test'"), machine, groups=["grp", "kind"])
+    auc = settle(M.auc_by_group(z.where("kind = 'm_test'"), machine, groups=["grp", "kind"]))
 
     def tall(df: DataFrame, metric: str, column: str) -> DataFrame:
         return df.select("detector", "grp", F.lit(metric).alias("metric"), F.col(column).alias("value"))

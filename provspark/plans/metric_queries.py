@@ -11,6 +11,7 @@ from provspark.operators import thresholds as T
 from provspark.plans.fixtures import table, view
 from provspark.plans.oracle import SPLIT, auc_ctes, threshold_ctes, tpr_ctes
 from provspark.plans.registry import query
+from provspark.session import settle
 
 MACHINE = "kind in ('k_gen', 'k_kanal')"
 
@@ -99,7 +100,7 @@ def w13(spark, sf):
 def rates(spark, sf):
     d, val, _, _ = parts(spark, sf)
     thr = T.threshold_group_mean(val, [0.01])
-    return M.exceed_rate(d.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"])
+    return settle(M.exceed_rate(d.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"]))
 
 
 RATES = f"""{SPLIT}, {threshold_ctes('neg')},
@@ -367,7 +368,7 @@ def m09(spark, sf):
 )
 def a28(spark, sf):
     _, _, test, machine = parts(spark, sf)
-    return P.best_by(M.auc_by_group(test, machine), "auc").select("scope", "grp", "detector", r6("auc"))
+    return P.best_by(settle(M.auc_by_group(test, machine)), "auc").select("scope", "grp", "detector", r6("auc"))
 
 
 @query(
@@ -416,7 +417,8 @@ def j08(spark, sf):
 )
 def a39(spark, sf):
     _, _, test, machine = parts(spark, sf)
-    cells = rates(spark, sf).join(M.auc_by_group(test, machine).select("detector", "grp", "auc"), ["detector", "grp"], "left")
+    auc = M.auc_by_group(test, machine).select("detector", "grp", "auc")
+    cells = settle(rates(spark, sf).join(auc, ["detector", "grp"], "left"))
     experiments = cells.where("kind <> 'm_test'").select(F.col("grp").alias("experiment"), "grp").distinct()
     out = P.exclusion_summary(
         cells.where("detector = 'd1'"), cells.where("detector = 'd2'"), cells.where("detector = 'd3'"), experiments
