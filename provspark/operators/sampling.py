@@ -18,14 +18,18 @@ from provspark.operators.scan import row_index, scan
 RANK_LIMIT = 1000
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: str, n: int, tie: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group along a numeric ``order``."""
+def first_n(
+    df: DataFrame, keys: Sequence[str], order: str, n: int, tie: str | None = None, rank: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each group along a numeric ``order``; ``rank`` names a column for their 1-based place."""
+    place = rank or "_rn"
     if n <= RANK_LIMIT:
         by = [F.col(order)] + ([F.col(tie)] if tie else [])
-        ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-        return ranked.where(F.col("_rn") <= n).drop("_rn")
-    indexed = row_index(df, order, "_idx", keys, ties=[tie] if tie else [])
-    return indexed.where(F.col("_idx") < n).drop("_idx")
+        ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    else:
+        ranked = row_index(df, order, place, keys, ties=[tie] if tie else []).withColumn(place, F.col(place) + 1)
+    kept = ranked.where(F.col(place) <= n)
+    return kept if rank else kept.drop(place)
 
 
 def quota_cutoff(df: DataFrame, keys: Sequence[str], arrival: str, n: int, prior: DataFrame | None = None) -> DataFrame:
@@ -34,11 +38,7 @@ def quota_cutoff(df: DataFrame, keys: Sequence[str], arrival: str, n: int, prior
     known = df
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    heads = first_n(known.select(*keys, arrival), keys, arrival, n)
-    if n <= RANK_LIMIT:
-        ranked = heads.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival)))
-    else:
-        ranked = row_index(heads, arrival, "_rn", keys).withColumn("_rn", F.col("_rn") + 1)
+    ranked = first_n(known.select(*keys, arrival), keys, arrival, n, rank="_rn")
     if prior is None:
         return ranked.where(F.col("_rn") == n).select(*keys, F.col(arrival).alias("_last"))
     counted = prior.select(*keys, F.col("prior").alias("_prior"))

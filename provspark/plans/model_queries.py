@@ -163,11 +163,11 @@ def m11(spark, sf):
 
 @query(
     "m18_merge_ensembles",
-    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE user_id < 5 AND event_type IN ('view', 'click'))
+    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE event_type IN ('view', 'click'))
     SELECT 'new' AS tag, CAST(row_number() OVER (ORDER BY CASE tag WHEN 'view' THEN 0 ELSE 1 END, seed) - 1 AS INTEGER) AS seed, seed AS old_seed, tag AS old_tag FROM h""",
 )
 def m18(spark, sf):
-    heads = table(spark, sf, "events").where("user_id < 5 and event_type in ('view', 'click')").select(
+    heads = table(spark, sf, "events").where("event_type in ('view', 'click')").select(
         F.col("event_type").alias("tag"), F.col("user_id").alias("seed")
     ).distinct()
     kept = heads.withColumns({"old_seed": F.col("seed"), "old_tag": F.col("tag")})
@@ -343,12 +343,12 @@ def s13(spark, sf):
 
 @query(
     "s14_load_ensemble",
-    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE user_id < 12 AND user_id <> 7 AND event_type = 'view')
+    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE value > 150 AND event_type = 'view')
     SELECT tag, seed FROM h WHERE seed = (SELECT count(*) FROM h x WHERE x.seed < h.seed)""",
 )
 def s14(spark, sf):
     path = scratch(spark, "heads")
-    heads = table(spark, sf, "events").where("user_id < 12 and user_id <> 7").select(
+    heads = table(spark, sf, "events").where("value > 150").select(
         F.col("event_type").alias("tag"), F.col("user_id").alias("seed")
     ).distinct()
     tables.save_heads(heads, path)

@@ -22,10 +22,14 @@ def _read_log(spark: SparkSession, log: str, schema: str, before: int) -> DataFr
 def admit_batch(
     batch: DataFrame, decided: DataFrame, kind: str, policy: Mapping[str, Sequence[str]], n: int, item: str = "item_id"
 ) -> DataFrame:
-    """One batch: skip decided ids and repeated ids, count stored rows per creator so far, decide."""
+    """One batch: skip decided ids and repeated ids, count stored rows per creator so far, decide.
+
+    Of the log only the ids and the stored rows of creators in this batch are used, both as column-pruned scans.
+    """
     fresh = only_new(first_occurrence(batch, [item], item), decided, item)
     prior = (
         decided.where(F.col("reason").isNull() & F.col("creator").isNotNull())
+        .join(batch.select("creator").distinct(), "creator", "left_semi")
         .groupBy("creator")
         .agg(F.count("*").alias("prior"))
     )
