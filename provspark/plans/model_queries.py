@@ -343,12 +343,12 @@ def s13(spark, sf):
 
 @query(
     "s14_load_ensemble",
-    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE value > 150 AND event_type = 'view')
+    """WITH h AS (SELECT DISTINCT event_type AS tag, user_id AS seed FROM events WHERE value > 5 AND event_type = 'view')
     SELECT tag, seed FROM h WHERE seed = (SELECT count(*) FROM h x WHERE x.seed < h.seed)""",
 )
 def s14(spark, sf):
     path = scratch(spark, "heads")
-    heads = table(spark, sf, "events").where("value > 150").select(
+    heads = table(spark, sf, "events").where("value > 5").select(
         F.col("event_type").alias("tag"), F.col("user_id").alias("seed")
     ).distinct()
     tables.save_heads(heads, path)
