@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
     "scores": """
         SELECT event_id AS item_id, event_type AS grp,
                CASE WHEN event_type IN ('view', 'click', 'signup')
-                    THEN CASE WHEN user_id < 75 THEN 'm_val' ELSE 'm_test' END
+                    THEN CASE WHEN user_id % 2 = 0 THEN 'm_val' ELSE 'm_test' END
                     WHEN event_type = 'purchase' THEN 'k_gen' ELSE 'k_kanal' END AS kind,
                'd1' AS detector, user_id AS user_id, ts AS ts,
                round(value / CAST(20 AS DOUBLE) + CASE WHEN event_type IN ('purchase', 'error')

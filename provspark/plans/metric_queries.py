@@ -433,13 +433,13 @@ def a39(spark, sf):
 @query(
     "j13_complete_coverage",
     """WITH need AS (SELECT DISTINCT event_type FROM events),
-    have AS (SELECT user_id, count(DISTINCT event_type) AS k FROM events WHERE value > 150 GROUP BY user_id)
+    have AS (SELECT user_id, count(DISTINCT event_type) AS k FROM events WHERE value > 60 GROUP BY user_id)
     SELECT user_id FROM have WHERE k = (SELECT count(*) FROM need)""",
 )
 def j13(spark, sf):
     events = table(spark, sf, "events")
     return P.complete_coverage(
-        events.where("value > 150").select("user_id", "event_type"), events.select("event_type"), "user_id", "event_type"
+        events.where("value > 60").select("user_id", "event_type"), events.select("event_type"), "user_id", "event_type"
     )
 
 
