@@ -33,24 +33,27 @@ def auc_by_group(
 ) -> DataFrame:
     """Mann-Whitney AUC of each positive group against the pooled negatives, ties counted half.
 
-    The negatives are counted once per distinct score and scanned once; every positive group then reads how many
-    negatives lie below and beside each of its scores. Work does not grow with groups x negatives.
+    Negatives and positives are counted per distinct score in one aggregation and scanned together once; every positive
+    group reads how many negatives lie below and beside each of its scores. Work does not grow with groups x negatives.
     """
     keys, groups = list(keys), list(groups)
-    neg = value_counts(negatives, keys, "score", "_neg")
-    pos = value_counts(positives, [*keys, *groups], "score", "_pos")
-    scores = (
-        neg.select(*keys, "score", "_neg")
-        .unionByName(pos.select(*keys, "score", F.lit(0).cast("bigint").alias("_neg")))
-        .groupBy(*keys, "score")
-        .agg(F.sum("_neg").alias("_neg"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    types = dict(positives.select(*groups).dtypes)
+    no_group = [F.lit(None).cast(types[g]).alias(g) for g in groups]
+    rows = negatives.select(*keys, *no_group, "score", one.alias("_neg"), zero.alias("_pos")).unionByName(
+        positives.select(*keys, *groups, "score", zero.alias("_neg"), one.alias("_pos"))
     )
-    placed = scan(scores, keys, "score", {"_upto": ("sum", F.col("_neg"))})
-    total = settle(negatives.groupBy(*keys).agg(F.count("score").alias("n_neg")))
-    wins = F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2.0)
-    joined = pos.join(placed, [*keys, "score"]).groupBy(*keys, *groups).agg(
-        F.sum(wins).alias("_u"), F.sum("_pos").alias("n_pos")
+    counted = (
+        rows.where(F.col("score").isNotNull())
+        .groupBy(*keys, *groups, "score")
+        .agg(F.sum("_neg").alias("_neg"), F.sum("_pos").alias("_pos"))
     )
+    placed = scan(
+        counted, keys, "score", {"_upto": ("upto", F.col("_neg")), "_beside": ("peers", F.col("_neg"))}
+    ).where(F.col("_pos") > 0)
+    total = settle(negatives.groupBy(*keys).agg(F.count("score").alias("n_neg")))
+    wins = F.col("_pos") * (F.col("_upto") - F.col("_beside") / 2.0)
+    joined = placed.groupBy(*keys, *groups).agg(F.sum(wins).alias("_u"), F.sum("_pos").alias("n_pos"))
     joined = joined.join(total, keys) if keys else joined.withColumn("n_neg", F.lit(total.first()["n_neg"]))
     return joined.select(
         *keys, *groups, (F.col("_u") / (F.col("n_neg") * F.col("n_pos"))).alias("auc"), "n_neg", "n_pos"

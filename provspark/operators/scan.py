@@ -51,7 +51,9 @@ def scan(
 ) -> DataFrame:
     """Inclusive scan along ``order`` within ``keys``.
 
-    ``spec`` maps a new column to ``(kind, value)``; kind is ``sum``, ``max`` or ``last`` (last non-null value).
+    ``spec`` maps a new column to ``(kind, value)``; kind is ``sum``, ``max`` or ``last`` (last non-null value). For
+    rows that share a value of ``order`` there are ``upto`` (running sum that includes all of them) and ``peers``
+    (their sum alone); equal values always lie in one range.
     ``ties`` refines the order inside equal values of ``order``; rows must be unique under (keys, order, ties).
     """
     keys = list(keys)
@@ -73,14 +75,21 @@ def scan(
         if keys
         else Window.orderBy(direction(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     )
+    with_peers = (
+        Window.partitionBy(*keys, RANGE)
+        .orderBy(direction(order))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     position = F.struct(*[F.col(c) for c in [order, *ties]])
     totals, carried, local, combined = [], [], [], {}
     for name, (kind, _) in spec.items():
         value, total = F.col(f"_v_{name}"), f"_t_{name}"
-        if kind == "sum":
+        if kind == "peers":
+            local.append(F.sum(value).over(Window.partitionBy(*keys, RANGE, order)).alias(name))
+        elif kind in ("sum", "upto"):
             totals.append(F.sum(value).alias(total))
             carried.append(F.sum(total).over(before).alias(f"_c_{name}"))
-            local.append(F.sum(value).over(running).alias(name))
+            local.append(F.sum(value).over(running if kind == "sum" else with_peers).alias(name))
             combined[name] = F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
         elif kind == "max":
             totals.append(F.max(value).alias(total))
