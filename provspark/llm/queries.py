@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles)"""
-    from provspark.llm import bpe_query  # noqa: F401
+    from provspark.llm import bpe_query, mixing_query, rollup_query, url_query  # noqa: F401
     from provspark.llm.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
