@@ -184,7 +184,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 1 << 20):
             rows = encoder.documents(batch.column(text).to_pylist())
             count = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
             flat = np.frombuffer(b"".join(rows), np.int32)
