@@ -326,15 +326,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
         lists = lists.select("h", "id", "n", F.coalesce("component", "id").alias("component"))
     member = able.select("id", "n", "k1", "k2").join(
         reps.select("n", "k1", "k2", F.col("id").alias("rep")), ["n", "k1", "k2"]
-    ).select("id", "rep")
+    ).select("id", "n", "rep")
     if found is None:
         found = docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
         placed = member.withColumn("component", F.col("rep"))
     else:
         named = groups.select(F.col("node").alias("rep"), "component")
-        placed = member.join(named, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
+        placed = member.join(named, "rep", "left").select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
     alone = sets.where("shared is null").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
-    known = sets.where("shared is not null").select("id", "n").join(placed, "id").unionByName(alone)
+    known = placed.unionByName(alone)
     nameless = rows.where("id is null").mapInArrow(_sizes, "n long")
     none = F.lit(None).cast("long")
     return known.unionByName(nameless.select(none.alias("id"), "n", none.alias("rep"), none.alias("component"))), found
