@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, blobs, mix, parts, pieces, utf8
+from provspark.llm.common import U64, mix, parts, pieces, utf8
 from provspark.llm.components import components
+from provspark.llm.packed import SCHEMA, deltas, planes, starts, undeltas, unplanes
+from provspark.llm.packed import owner as owner_of
+from provspark.llm.packed import rows as packed
 from provspark.llm.words import split, unspaced
 from provspark.session import cut_lineage
 
@@ -51,35 +54,6 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit values byte by byte of the same rank, which compresses where high bytes are alike."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
-def _deltas(x: np.ndarray) -> bytes:
-    """Sorted unsigned values as planes of their differences."""
-    return planes(np.diff(x, prepend=U64(0)).view(np.int64))
-
-
-def _undeltas(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw).view(U64))
-
-
-POSTED = "part int, kind int, a binary, b binary, c binary, d binary"
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    part, kind, *rest = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *(blobs(list(x)) for x in rest)],
-        ["part", "kind", "a", "b", "c", "d"],
-    )
-
-
 def _post(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Blobs of (shingle, document) by ranges of shingles, and of (document, size, two keys of its set) by documents."""
     ids, sets, held = [], [], 0
@@ -89,17 +63,17 @@ def _post(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Record
         doc, h = np.repeat(np.array(ids, np.int64), size), np.concatenate(sets)
         order = np.argsort(h, kind="stable")
         doc, h = doc[order], h[order]
-        cuts = np.searchsorted(h, _starts(n_parts))
+        cuts = np.searchsorted(h, starts(n_parts))
         out = []
         for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)):
             if b > a:
-                out.append((p, 0, _deltas(h[a:b]), planes(doc[a:b]), b"", b""))
+                out.append((p, 0, deltas(h[a:b]), planes(doc[a:b])))
         keys = np.array([_key(s) for s in sets], U64).reshape(-1, 2).view(np.int64)
-        owner = _owner(np.array(ids, np.int64), n_parts)
+        owner = owner_of(np.array(ids, np.int64), n_parts)
         for p in np.unique(owner):
             i = np.flatnonzero(owner == p)
             out.append((int(p), 1, planes(np.array(ids, np.int64)[i]), planes(size[i]), planes(keys[i, 0]), planes(keys[i, 1])))
-        return _rows(out)
+        return packed(out)
 
     for batch in pieces(batches, "text", 2 << 20):
         found = shingle_sets(*utf8(batch.column("text")))
@@ -117,23 +91,15 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=U64)), int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
 
 
-def _starts(n: int) -> np.ndarray:
-    return np.array([(i << 64) // n for i in range(n)], U64)
-
-
-def _owner(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mix(doc.view(U64)) % U64(n)).astype(np.int64)
-
-
 def _share(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Of a range of shingles, those of two documents or more, with their number of documents, by document."""
     by_part: dict[int, list] = {}
     for batch in batches:
         for r in batch.to_pylist():
             if r["kind"] == 1:
-                yield _rows([(r["part"], 1, r["a"], r["b"], r["c"], r["d"])])
+                yield packed([(r["part"], 1, r["a"], r["b"], r["c"], r["d"])])
             else:
-                by_part.setdefault(r["part"], []).append((_undeltas(r["a"]), unplanes(r["b"])))
+                by_part.setdefault(r["part"], []).append((undeltas(r["a"]), unplanes(r["b"])))
     for part in list(by_part):
         lists = by_part.pop(part)
         h, doc = (np.concatenate(x) for x in zip(*lists, strict=True))
@@ -144,13 +110,13 @@ def _share(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Recor
         count = np.diff(first, append=len(h))
         kept = np.repeat(count > 1, count)
         h, doc, count = h[kept], doc[kept], np.repeat(count, count)[kept]
-        owner = _owner(doc, n_parts)
+        owner = owner_of(doc, n_parts)
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(n_parts + 1))
         for p in range(n_parts):
             i = order[cuts[p] : cuts[p + 1]]
             if len(i):
-                yield _rows([(p, 0, _deltas(h[i]), planes(doc[i]), planes(count[i]), b"")])
+                yield packed([(p, 0, deltas(h[i]), planes(doc[i]), planes(count[i]))])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +128,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["kind"] == 1:
                 meta.append([unplanes(r[c]) for c in "abcd"])
             else:
-                shared.append((_undeltas(r["a"]), unplanes(r["b"]), unplanes(r["c"])))
+                shared.append((undeltas(r["a"]), unplanes(r["b"]), unplanes(r["c"])))
     if not meta:
         return
     ids, size, k1, k2 = (np.concatenate(x) for x in zip(*meta, strict=True))
@@ -293,8 +259,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     """
     n_parts = 2 * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    posted = rows.where("id is not null").mapInArrow(lambda b: _post(b, n_parts), POSTED)
-    shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), POSTED)
+    posted = rows.where("id is not null").mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
+    shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
     sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary")
     sets = cut_lineage(sets)
     able = sets.where("shared is not null")
