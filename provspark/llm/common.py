@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,3 +78,10 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def blobs(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files behind a checkpoint: Spark deletes those of plans that the driver no longer refers to, but
+    only when its garbage is collected, which may be long after the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

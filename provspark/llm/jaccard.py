@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, mix, parts, pieces, utf8
+from provspark.llm.common import U64, mix, parts, pieces, release, utf8
 from provspark.llm.components import components
 from provspark.llm.packed import SCHEMA, deltas, planes, starts, undeltas, unplanes
 from provspark.llm.packed import owner as owner_of
@@ -231,6 +231,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[i]), pa.array(good[i])], ["a", "b", "overlap"])
 
 
+def _shared_sets(rows: DataFrame, n_parts: int) -> DataFrame:
+    posted = rows.mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
+    shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
+    sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary")
+    return cut_lineage(sets)
+
+
 def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
 
@@ -259,10 +266,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     """
     n_parts = 2 * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    posted = rows.where("id is not null").mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
-    shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
-    sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary")
-    sets = cut_lineage(sets)
+    sets = _shared_sets(rows.where("id is not null"), n_parts)
+    release(docs.sparkSession)
     able = sets.where("shared is not null")
     reps = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("shared").alias("shared"))
     reps = cut_lineage(reps)
