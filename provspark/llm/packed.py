@@ -17,7 +17,7 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unplanes(raw: bytes) -> np.ndarray:
+def unplanes(raw: bytes | memoryview) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
@@ -26,7 +26,7 @@ def deltas(x: np.ndarray) -> bytes:
     return planes(np.diff(x, prepend=U64(0)).view(np.int64))
 
 
-def undeltas(raw: bytes) -> np.ndarray:
+def undeltas(raw: bytes | memoryview) -> np.ndarray:
     return np.cumsum(unplanes(raw).view(U64))
 
 
@@ -35,11 +35,20 @@ def rows(out: list[tuple]) -> pa.RecordBatch:
     filled = [(*r, *[b""] * (6 - len(r))) for r in out]
     part, kind, *rest = zip(*filled, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *(blobs(list(x)) for x in rest)],
+        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *(blobs([bytes(b) for b in x]) for x in rest)],
         ["part", "kind", "a", "b", "c", "d"],
     )
 
 
+def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of ``SCHEMA`` one by one, each blob a view of its batch."""
+    for batch in batches:
+        part, kind = batch.column("part").to_pylist(), batch.column("kind").to_pylist()
+        rest = [batch.column(c) for c in "abcd"]
+        for i, (p, k) in enumerate(zip(part, kind, strict=True)):
+            yield p, k, *(memoryview(c[i].as_buffer()) for c in rest)
+
+
 def starts(n: int) -> np.ndarray:
     """Where n equal ranges of 64-bit hashes begin."""
     return np.array([(i << 64) // n for i in range(n)], U64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.common import U64, blobs, lists, mix, parts, pieces, utf8
-from provspark.llm.packed import SCHEMA, by_owner, deltas, planes, rows, starts, undeltas, unplanes
+from provspark.llm.packed import SCHEMA, by_owner, deltas, entries, planes, rows, starts, undeltas, unplanes
 from provspark.llm.words import prefix_sums, span_hash
 from provspark.session import cut_lineage
 
@@ -18,7 +18,9 @@ from provspark.session import cut_lineage
 LENGTH, FIRST, SECOND = 100, 32, 64
 SHIFT = LENGTH - SECOND
 #: Bytes of a text that are ranked at once, and entries that a task holds before it hands them on.
-CHUNK, HELD = 1 << 20, 400_000
+CHUNK, HELD = 1 << 20, 150_000
+#: Ranges of ranks for each of the session's shuffle partitions: one is sorted in a task at a time.
+RANGES = 4
 #: Kinds of packed rows.
 RUN, SPAN, OPEN = 0, 1, 2
 
@@ -73,7 +75,7 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
 def _rank_runs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for batch in pieces(batches, "text", CHUNK):
+    for batch in pieces(batches, "text", CHUNK // 4):
         for raw, start, end, ids, base in _stretches(batch):
             k, first, last, inner, whole = runs(raw, start, end)
             if len(k):
@@ -135,13 +137,11 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def _settle_runs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """In a range of anchors: a run like an earlier one is a repeat; unlike runs with one anchor stay open."""
     by_part: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == SPAN:
-                yield rows([(r["part"], SPAN, r["a"], r["b"], r["c"])])
-            else:
-                own = undeltas(r["a"]), unplanes(r["b"]).view(U64), unplanes(r["c"]), unplanes(r["d"])
-                by_part.setdefault(r["part"], []).append(own)
+    for part, kind, a, b, c, d in entries(batches):
+        if kind == SPAN:
+            yield rows([(part, SPAN, a, b, c)])
+        else:
+            by_part.setdefault(part, []).append((undeltas(a), unplanes(b).view(U64), unplanes(c), unplanes(d)))
     for part in list(by_part):
         inner, whole, doc, at = (np.concatenate(x) for x in zip(*by_part.pop(part), strict=True))
         order = np.lexsort((at, doc, whole, inner))
@@ -160,9 +160,8 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document with its settled spans and open runs."""
     settled, still = [], []
-    for batch in batches:
-        for r in batch.to_pylist():
-            (settled if r["kind"] == SPAN else still).append([unplanes(r[c]) for c in "abc"])
+    for _, kind, a, b, c, _ in entries(batches):
+        (settled if kind == SPAN else still).append((unplanes(a), unplanes(b), unplanes(c)))
     empty = [np.zeros(0, np.int64)] * 3
     doc, start, end = _spans(*(np.concatenate(x) for x in zip(*(settled or [empty]), strict=True)))
     own, at, more = (np.concatenate(x) for x in zip(*(still or [empty]), strict=True))
@@ -224,13 +223,11 @@ def _deal_windows(held: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[
 def _settle_windows(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Of equal windows all but the first are repeats."""
     by_part: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == SPAN:
-                yield rows([(r["part"], SPAN, r["a"], r["b"], r["c"])])
-            else:
-                own = undeltas(r["a"]), unplanes(r["b"]).view(U64), unplanes(r["c"]), unplanes(r["d"])
-                by_part.setdefault(r["part"], []).append(own)
+    for part, kind, a, b, c, d in entries(batches):
+        if kind == SPAN:
+            yield rows([(part, SPAN, a, b, c)])
+        else:
+            by_part.setdefault(part, []).append((undeltas(a), unplanes(b).view(U64), unplanes(c), unplanes(d)))
     for part in list(by_part):
         left, right, doc, at = (np.concatenate(x) for x in zip(*by_part.pop(part), strict=True))
         order = np.lexsort((at, doc, right, left))
@@ -255,7 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     of repeats, goes on with all its windows, sorted by the pair of ranks at offset ``SHIFT``. Equal keys that a task
     sees more than once leave it once, so a passage in very many documents is one row per task.
     """
-    n_parts = parts(docs.sparkSession)
+    n_parts = RANGES * parts(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
     settled = ranked.repartition(n_parts, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
