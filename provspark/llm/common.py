@@ -83,5 +83,6 @@ def blobs(rows: list[bytes]) -> pa.Array:
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files behind a checkpoint: Spark deletes those of plans that the driver no longer refers to, but
     only when its garbage is collected, which may be long after the disk is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans refer to each other over the border of Python and the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import U64, mix, parts, pieces, release, utf8
 from provspark.llm.components import components
-from provspark.llm.packed import SCHEMA, deltas, planes, starts, undeltas, unplanes
+from provspark.llm.packed import SCHEMA, deltas, entries, planes, starts, undeltas, unplanes
 from provspark.llm.packed import owner as owner_of
 from provspark.llm.packed import rows as packed
 from provspark.llm.words import split, unspaced
@@ -19,8 +19,11 @@ from provspark.session import cut_lineage
 
 #: Words of a shingle; two documents link when LEAST[1] * common >= LEAST[0] * united.
 WORDS, LEAST = 5, (75, 100)
-#: Shingles that a task holds before it hands them on in blobs.
-HELD = 1_500_000
+#: Shingles that a task holds before it hands them on in blobs, and low bits of their hashes that are not sent: with 56
+#: bits, two unlike sets of a thousand shingles share one by chance once in 10 ** 11 pairs.
+HELD, UNSENT = 1_500_000, 8
+#: Ranges of shingles for each of the session's shuffle partitions.
+RANGES = 2
 #: Weight of the logarithm in the choice of how many lists are probed instead of merged.
 PROBE = 0.01
 #: Rounds in which each list's members meet one of them, before the members that are still apart meet each other.
@@ -67,7 +70,7 @@ def _post(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Record
         out = []
         for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)):
             if b > a:
-                out.append((p, 0, deltas(h[a:b]), planes(doc[a:b])))
+                out.append((p, 0, deltas(h[a:b] >> U64(UNSENT)), planes(doc[a:b])))
         keys = np.array([_key(s) for s in sets], U64).reshape(-1, 2).view(np.int64)
         owner = owner_of(np.array(ids, np.int64), n_parts)
         for p in np.unique(owner):
@@ -94,12 +97,11 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 def _share(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Of a range of shingles, those of two documents or more, with their number of documents, by document."""
     by_part: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == 1:
-                yield packed([(r["part"], 1, r["a"], r["b"], r["c"], r["d"])])
-            else:
-                by_part.setdefault(r["part"], []).append((undeltas(r["a"]), unplanes(r["b"])))
+    for part, kind, *blob in entries(batches):
+        if kind == 1:
+            yield packed([(part, 1, *blob)])
+        else:
+            by_part.setdefault(part, []).append((undeltas(blob[0]), unplanes(blob[1])))
     for part in list(by_part):
         lists = by_part.pop(part)
         h, doc = (np.concatenate(x) for x in zip(*lists, strict=True))
@@ -109,33 +111,35 @@ def _share(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Recor
         first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         count = np.diff(first, append=len(h))
         kept = np.repeat(count > 1, count)
-        h, doc, count = h[kept], doc[kept], np.repeat(count, count)[kept]
+        count = count[count > 1]
+        # from here on a shingle is its number in the range: small differences, which compress
+        number = np.repeat((part << 36) + np.arange(len(count)), count)
+        doc, count = doc[kept], np.repeat(count, count)
         owner = owner_of(doc, n_parts)
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(n_parts + 1))
-        for p in range(n_parts):
+        for p in np.flatnonzero(np.diff(cuts)):
             i = order[cuts[p] : cuts[p + 1]]
-            if len(i):
-                yield packed([(p, 0, deltas(h[i]), planes(doc[i]), planes(count[i]))])
+            yield packed([(int(p), 0, deltas(number[i].view(U64)), planes(doc[i]), planes(count[i]))])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document: its size and keys, and its shared shingles from the rarest to the most frequent, where
-    they are enough for any partner (else null: no document can link with it)."""
+    """One row per document: its size and keys, its shared shingles (packed) and the rarest of them, which are its short
+    lists; null where they are too few for any partner: no document can link with it."""
     meta, shared = [], []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == 1:
-                meta.append([unplanes(r[c]) for c in "abcd"])
-            else:
-                shared.append((undeltas(r["a"]), unplanes(r["b"]), unplanes(r["c"])))
+    for _, kind, a, b, c, d in entries(batches):
+        if kind == 1:
+            meta.append([unplanes(x) for x in (a, b, c, d)])
+        else:
+            shared.append((undeltas(a).view(np.int64), unplanes(b), unplanes(c)))
     if not meta:
         return
     ids, size, k1, k2 = (np.concatenate(x) for x in zip(*meta, strict=True))
     out: list[bytes | None] = [None] * len(ids)
+    rare: list[np.ndarray | None] = [None] * len(ids)
     if shared:
         h, doc, count = (np.concatenate(x) for x in zip(*shared, strict=True))
-        # a document often has too few shared shingles: such are left out before the sort
+        # most documents have too few shared shingles: they are left out before the sort
         known, place, total = np.unique(doc, return_inverse=True, return_counts=True)
         least = np.zeros(len(known), np.int64)
         at = np.searchsorted(known, ids)
@@ -147,36 +151,35 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, doc = h[order], doc[order]
         start, end = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
         sorted_ids = np.argsort(ids, kind="stable")
-        torn = np.zeros(len(ids), bool)  # rows of one id with different sets
         a, b = sorted_ids[:-1], sorted_ids[1:]
-        differ = (ids[a] == ids[b]) & ((k1[a] != k1[b]) | (k2[a] != k2[b]))
-        torn |= np.isin(ids, ids[a[differ]])
+        differ = (ids[a] == ids[b]) & ((k1[a] != k1[b]) | (k2[a] != k2[b]))  # rows of one id with different sets
+        torn = np.isin(ids, ids[a[differ]])
         for i in np.flatnonzero((end > start) & ~torn):
-            out[i] = _once(h[start[i] : end[i]]).tobytes()  # a repeated row has its postings twice
+            own = _once(h[start[i] : end[i]])  # a repeated row has its postings twice
+            if len(own) >= needed(int(size[i])):
+                out[i] = pack(own)
+                rare[i] = own[: len(own) - needed(int(size[i])) + 1]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(size), pa.array(k1), pa.array(k2), pa.array(out, pa.binary())], ["id", "n", "k1", "k2", "shared"]
+        [pa.array(ids), pa.array(size), pa.array(k1), pa.array(k2), pa.array(out, pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
+        ["id", "n", "k1", "k2", "shared", "rare"],
     )
 
 
+def pack(own: np.ndarray) -> bytes:
+    return pa.compress(deltas(np.sort(own).view(U64)), codec="lz4", asbytes=True) + len(own).to_bytes(4, "little")
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """The shingles of ``pack`` in rising order."""
+    n = int.from_bytes(raw[-4:], "little")
+    return undeltas(pa.decompress(raw[:-4], decompressed_size=8 * n, codec="lz4", asbytes=True)).view(np.int64)
+
+
 def _once(h: np.ndarray) -> np.ndarray:
     first = np.sort(np.unique(h, return_index=True)[1])
     return h if len(first) == len(h) else h[first]
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rarest shared shingles of a set, so many that a partner has one of them among its own rarest."""
-    for batch in batches:
-        n = batch.column("n").to_numpy()
-        sets = [np.frombuffer(b, np.int64) for b in batch.column("shared").to_pylist()]
-        own = [s[: max(0, len(s) - int(t) + 1)] for s, t in zip(sets, needed(n), strict=True)]
-        count = [len(x) for x in own]
-        ids = batch.column("id").to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([*own, np.zeros(0, np.int64)])), pa.array(np.repeat(ids, count)), pa.array(np.repeat(n, count))],
-            ["h", "id", "n"],
-        )
-
-
 def occurrences(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Overlap of each set that reaches the needed one with the query, else 0.
 
@@ -225,8 +228,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
         good = np.zeros(len(q), np.int64)
         for a, b in zip(cuts, cuts[1:], strict=False):
-            sets = [np.frombuffer(x, np.int64) for x in c_set.slice(a, b - a).to_pylist()]
-            good[a:b] = occurrences(np.frombuffer(q_set[a].as_py(), np.int64), int(q_n[a]), sets, c_n[a:b])
+            sets = [unpack(x) for x in c_set.slice(a, b - a).to_pylist()]
+            good[a:b] = occurrences(unpack(q_set[a].as_py()), int(q_n[a]), sets, c_n[a:b])
         i = good > 0
         yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[i]), pa.array(good[i])], ["a", "b", "overlap"])
 
@@ -234,7 +237,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_sets(rows: DataFrame, n_parts: int) -> DataFrame:
     posted = rows.mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
     shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
-    sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary")
+    sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
     return cut_lineage(sets)
 
 
@@ -264,26 +267,25 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     members as long as a list spans several components; what is still apart then meets pairwise. The sets that meet
     are searched with ``occurrences``.
     """
-    n_parts = 2 * parts(docs.sparkSession)
+    n_parts = RANGES * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sets = _shared_sets(rows.where("id is not null"), n_parts)
     release(docs.sparkSession)
     able = sets.where("shared is not null")
-    reps = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("shared").alias("shared"))
+    reps = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("shared").alias("shared"), F.first("rare").alias("rare"))
     reps = cut_lineage(reps)
-    lists = cut_lineage(reps.select("id", "n", "shared").mapInArrow(_prefixes, "h long, id long, n long"))
-    lists = lists.withColumn("component", F.col("id"))
+    lists = reps.select(F.explode("rare").alias("h"), "id", "n", F.col("id").alias("component"))
     found = None
     for k in range(ROUNDS + 1):
-        spans = lists.groupBy("h").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "n", "component")).alias("l"),
-            F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("low <> high").select("h", "l")
-        lists = cut_lineage(lists.join(spans, "h"))
+        spans = lists.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        spans = spans.where("low <> high").select("h")
+        lists = cut_lineage(lists.join(spans, "h"))  # only those that lie in several components
         if lists.isEmpty():
             break
+        met = F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "n", "component")
+        leads = lists.groupBy("h").agg(F.min(met).alias("l"))
         if k < ROUNDS:
-            pairs = lists.where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n")))
+            pairs = lists.join(leads, "h").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n")))
             pairs = pairs.select(F.col("l.id").alias("q"), F.col("id").alias("c")).distinct()
         else:
             left = lists.select("h", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_c"))
