@@ -122,8 +122,11 @@ def decode_code(code: Column, names: Mapping[int, str], default: str = "?") -> C
     return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.lit(default))
 
 
-def pseudonymise(text: Column, labels: Mapping[str, str]) -> Column:
-    """Replace names by neutral labels, longest first, only as whole words or path parts."""
+def pseudonymise(text: Column, labels: Mapping[str, str], names: Mapping[str, str] | None = None) -> Column:
+    """Replace names by neutral labels, longest first: ``names`` wherever they stand, then the keys of ``labels`` only as
+    whole words or path parts."""
+    for name in sorted(names or {}, key=lambda n: -len(n)):
+        text = F.replace(text, F.lit(name), F.lit(names[name]))
     for name in sorted(labels, key=lambda n: (-len(n), n)):
         replacement = labels[name].replace("\\", r"\\").replace("$", r"\$")
         text = F.regexp_replace(text, rf"(?<![\w/]){re.escape(name)}(?![\w/])", replacement)
@@ -290,6 +293,6 @@ def available_prefix(backbones: Sequence[str], present: Column) -> Column:
     return F.when(gap == 0, ordered).otherwise(F.slice(ordered, F.lit(1), F.greatest(gap - 1, F.lit(0)).cast("int")))
 
 
-def quarter_windows(start: str, end: str) -> Column:
+def quarter_windows(start: Column, end: Column) -> Column:
     """Start dates of the three-month windows from ``start`` up to and including ``end``."""
-    return F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 3 months"))
+    return F.sequence(start.cast("date"), end.cast("date"), F.expr("interval 3 months"))

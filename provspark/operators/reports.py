@@ -120,13 +120,21 @@ def equal_fpr_compare(negatives: DataFrame, positives: DataFrame, fpr: float) ->
 
 
 def robustness_matrix(rows: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Per condition at one fixed threshold: hit, pooled false positives, AUC. Columns condition, label, score."""
+    """Per condition at one fixed threshold: hit, pooled false positives, AUC, and the false positives of every human
+    group as ``fpr_groups`` (entries grp, fpr in order of the group). Columns condition, grp, label, score."""
     fixed = threshold.first()["threshold"]
     flagged = F.col("score") > F.lit(fixed)
-    rates = rows.groupBy("condition").agg(
-        rate_of(F.when(F.col("label") == 1, flagged)).alias("hit"),
-        rate_of(F.when(F.col("label") == 0, flagged)).alias("fpr"),
-    )
+    per_group = rows.groupBy("condition", "grp", "label").agg(F.count("*").alias("_n"), F.count_if(flagged).alias("_k"))
+
+    def pooled(label: int) -> Column:
+        mine = F.col("label") == label
+        return F.sum(F.when(mine, F.col("_k"))) / F.sum(F.when(mine, F.col("_n")))
+
+    one = F.struct(F.col("grp"), (F.col("_k") / F.col("_n")).alias("fpr"))
+    rates = per_group.groupBy("condition").agg(
+        pooled(1).alias("hit"), pooled(0).alias("fpr"),
+        F.sort_array(F.collect_list(F.when(F.col("label") == 0, one))).alias("fpr_groups"),
+    )
     return rates.join(M.auc_two_sided(rows, ["condition"]), "condition")
 
 
@@ -273,9 +281,7 @@ def ensemble_mean(scores: DataFrame, item: str, score: str) -> DataFrame:
 
 def view_aggregate(rows: DataFrame, item: str, score: str) -> DataFrame:
     """Mean, minimum and median over several views of an item."""
-    simple = rows.groupBy(item).agg(F.avg(score).alias("mean"), F.min(score).alias("low"))
-    median = exact_quantiles(rows, [item], score, [0.5]).select(item, F.col("q0").alias("median"))
-    return simple.join(median, item)
+    return rows.groupBy(item).agg(F.avg(score).alias("mean"), F.min(score).alias("low"), F.median(score).alias("median"))
 
 
 def paired_shift(before: DataFrame, after: DataFrame, item: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -298,21 +304,28 @@ def ranked_report(metrics: DataFrame, metric: str, name: str) -> DataFrame:
     return metrics.withColumn("place", place).orderBy("place")
 
 
-def pipeline_rates(scores: DataFrame, gate: DataFrame, thresholds: DataFrame, review: float, auto: float) -> DataFrame:
-    """Flagged raw, left after the gate, acted on automatically; all over n. Both thresholds are strict."""
+def pipeline_rates(
+    scores: DataFrame, gate: DataFrame, thresholds: DataFrame, review: float, auto: float, strict: bool = False
+) -> DataFrame:
+    """Flagged raw, left after the gate, acted on automatically; all over n. A score at a threshold counts as flagged
+    unless ``strict``."""
     cuts = thresholds.groupBy("detector").agg(
         F.max(F.when(F.col("target") == review, F.col("threshold"))).alias("_review"),
         F.max(F.when(F.col("target") == auto, F.col("threshold"))).alias("_auto"),
     )
     gated = gate.select("item_id").distinct().withColumn("_gated", F.lit(True))
     rows = scores.join(gated, "item_id", "left").join(cuts, "detector")
-    flagged = F.col("score") > F.col("_review")
+
+    def reaches(limit: str) -> Column:
+        return F.col("score") > F.col(limit) if strict else F.col("score") >= F.col(limit)
+
+    flagged = reaches("_review")
     passed = flagged & F.col("_gated").isNull()
     return rows.groupBy("detector").agg(
         F.count("*").alias("n"),
         rate_of(flagged).alias("raw"),
         rate_of(passed).alias("gated"),
-        rate_of(passed & (F.col("score") > F.col("_auto"))).alias("auto"),
+        rate_of(passed & reaches("_auto")).alias("auto"),
     )
 
 

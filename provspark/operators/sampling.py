@@ -65,7 +65,12 @@ def quota(
     counted = df if counts is None else df.where(counts)
     cutoff = quota_cutoff(counted, keys, arrival, n, prior).withColumn("_full", F.lit(True))
     late = F.col("_full") & (F.col("_last").isNull() | (F.col(arrival) > F.col("_last")))
-    return df.join(cutoff, list(keys), "left").withColumn(name, F.coalesce(late, F.lit(False))).drop("_last", "_full")
+    exempt = F.lit(False)
+    for k in keys:
+        exempt = exempt | F.col(k).isNull()
+    flagged = df.where(~exempt).join(cutoff, list(keys), "left").withColumn(name, F.coalesce(late, F.lit(False)))
+    # rows without a creator stay out of the join: they would all be one key
+    return flagged.drop("_last", "_full").select(*df.columns, name).unionByName(df.where(exempt).withColumn(name, F.lit(False)))
 
 
 def fill_targets(df: DataFrame, targets: DataFrame, bucket: str, arrival: str) -> DataFrame:
@@ -97,8 +102,7 @@ def linspace_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     total = df.count()
     if n < 2 or total <= n:
         return indexed.where(F.col("_idx") < n).drop("_idx")
-    step = (total - 1) / (n - 1)
-    wanted = df.sparkSession.range(n).select(F.floor(F.col("id") * F.lit(step)).cast("bigint").alias("_idx")).distinct()
+    wanted = df.sparkSession.range(n).select(F.expr(f"(id * {total - 1}L) div {n - 1}L").alias("_idx")).distinct()
     return indexed.join(wanted, "_idx", "left_semi").drop("_idx")
 
 
@@ -116,7 +120,7 @@ def chrono_holdout(df: DataFrame, keys: Sequence[str], day: str, item: str, shar
     Only the day that contains the cut is ranked by item, so a day shared by very many rows is scanned in ranges too.
     """
     keys = list(keys)
-    rows = df.withColumn("_day", F.coalesce(F.datediff(F.col(day), F.lit("1900-01-01")), F.lit(-1)))
+    rows = df.withColumn("_day", F.coalesce(F.datediff(F.col(day), F.lit("1900-01-01")), F.lit(-(2**31))))
     sizes = rows.groupBy(*keys).agg(F.floor(F.count("*") * F.lit(share)).alias("_cut"))
     days = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     placed = scan(days, keys, "_day", {"_upto": ("sum", F.col("_n"))}).join(sizes, keys)

@@ -83,4 +83,6 @@ def inherit_split(derived: DataFrame, base: DataFrame, on: str, models: Sequence
 def disjoint_creators(train: DataFrame, test: DataFrame, creator: str) -> DataFrame:
     """Training rows whose creator does not occur in the test manifest; missing creators are ignored there."""
     held_out = test.where(F.col(creator).isNotNull() & (F.col(creator) != "")).select(creator).distinct()
-    return train.join(held_out, creator, "left_anti")
+    # rows without a creator never match; in the join they would all be one key
+    known = train.where(F.col(creator).isNotNull()).join(held_out, creator, "left_anti").select(*train.columns)
+    return known.unionByName(train.where(F.col(creator).isNull()))

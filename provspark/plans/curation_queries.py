@@ -252,13 +252,13 @@ def p18(spark, sf):
 @query(
     "p19_pseudonymise",
     r"""WITH a AS (SELECT doc_id, concat('@', regexp_replace(text, '(^|[^a-zA-Z0-9_/])of the($|[^a-zA-Z0-9_/])', '\1Channel B\2', 'g'))
-        AS t FROM (SELECT doc_id, regexp_replace(text, ' ', '  ', 'g') AS text FROM documents)),
+        AS t FROM (SELECT doc_id, replace(replace(replace(text, ' ', '  '), 'tion', 'Channel C'), 'an', 'Channel D') AS text FROM documents)),
     b AS (SELECT doc_id, regexp_replace(t, '(^|[^a-zA-Z0-9_/])the($|[^a-zA-Z0-9_/])', '\1Channel A\2', 'g') AS t FROM a)
     SELECT doc_id, md5(substr(t, 2)) AS digest FROM b""",
 )
 def p19(spark, sf):
     spaced = F.replace(F.col("text"), F.lit(" "), F.lit("  "))
-    labelled = X.pseudonymise(spaced, {"the": "Channel A", "of the": "Channel B"})
+    labelled = X.pseudonymise(spaced, {"the": "Channel A", "of the": "Channel B"}, {"an": "Channel D", "tion": "Channel C"})
     return table(spark, sf, "documents").select("doc_id", F.md5(labelled).alias("digest"))
 
 
@@ -587,7 +587,7 @@ def w07(spark, sf):
     """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events)
     SELECT 'step' AS mode, event_id FROM r WHERE i % 25 = 0
     UNION ALL SELECT 'linspace', event_id FROM r WHERE i IN
-      (SELECT CAST(floor(j * ((SELECT max(n) FROM r) - 1) / 99.0::DOUBLE) AS BIGINT) FROM range(100) t(j))""",
+      (SELECT j * ((SELECT max(n) FROM r) - 1) // 99 FROM range(100) t(j))""",
 )
 def w08(spark, sf):
     events = table(spark, sf, "events").select("event_id")
@@ -834,7 +834,7 @@ def x21(spark, sf):
     span = table(spark, sf, "orders").agg(
         F.date_trunc("quarter", F.min("o_orderdate")).cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")
     )
-    windows = span.select(F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("day"))
+    windows = span.select(F.explode(X.quarter_windows(F.col("a"), F.col("b"))).alias("day"))
     return windows.select(F.col("day").cast("string").alias("day"))
 
 

@@ -310,8 +310,10 @@ def m14(spark, sf):
     SELECT c.condition, CAST(sum(1 - c.neg) AS BIGINT) AS n_pos, CAST(sum(c.neg) AS BIGINT) AS n_neg,
            round(avg(CASE WHEN c.neg = 0 THEN CASE WHEN score > threshold THEN 1.0::DOUBLE ELSE 0 END END), 6) AS hit,
            round(avg(CASE WHEN c.neg = 1 THEN CASE WHEN score > threshold THEN 1.0::DOUBLE ELSE 0 END END), 6) AS fpr,
-           round(max(a.auc), 6) AS auc
-    FROM c JOIN auc_r a ON a.condition = c.condition GROUP BY c.condition""",
+           round(max(a.auc), 6) AS auc, max(f.fpr_groups) AS fpr_groups
+    FROM c JOIN auc_r a ON a.condition = c.condition JOIN (SELECT condition, string_agg(concat(grp, '=', CAST(k AS VARCHAR)), ',' ORDER BY grp)
+      AS fpr_groups FROM (SELECT condition, grp, CAST(floor(avg(CASE WHEN score > threshold THEN 1.0::DOUBLE ELSE 0 END) * 1000000 + 0.5) AS BIGINT) AS k
+      FROM c WHERE neg = 1 GROUP BY condition, grp) GROUP BY condition) f ON f.condition = c.condition GROUP BY c.condition""",
 )
 def m13(spark, sf):
     d, val, _, _ = parts(spark, sf)
@@ -320,7 +322,8 @@ def m13(spark, sf):
         F.col("detector").alias("condition"), "grp", (F.col("kind") != "m_test").cast("int").alias("label"), "score"
     )
     out = P.robustness_matrix(rows, fixed)
-    return out.select("condition", "n_pos", "n_neg", r6("hit"), r6("fpr"), r6("auc"))
+    groups = F.transform("fpr_groups", lambda g: F.concat(g["grp"], F.lit("="), F.floor(g["fpr"] * 1e6 + 0.5).cast("string")))
+    return out.select("condition", "n_pos", "n_neg", r6("hit"), r6("fpr"), r6("auc"), F.array_join(groups, ",").alias("fpr_groups"))
 
 
 @query(
@@ -513,9 +516,9 @@ def t03(spark, sf):
     t AS (SELECT detector, max(CASE WHEN target = 0.01 THEN threshold END) AS lo,
                  max(CASE WHEN target = 0.001 THEN threshold END) AS hi FROM thr GROUP BY detector),
     g AS (SELECT DISTINCT event_id AS item_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 90)
-    SELECT d.detector, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN d.score > t.lo THEN 1.0::DOUBLE ELSE 0 END), 6) AS raw,
-           round(avg(CASE WHEN d.score > t.lo AND g.item_id IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS gated,
-           round(avg(CASE WHEN d.score > t.lo AND g.item_id IS NULL AND d.score > t.hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS auto
+    SELECT d.detector, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN d.score >= t.lo THEN 1.0::DOUBLE ELSE 0 END), 6) AS raw,
+           round(avg(CASE WHEN d.score >= t.lo AND g.item_id IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS gated,
+           round(avg(CASE WHEN d.score >= t.lo AND g.item_id IS NULL AND d.score >= t.hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS auto
     FROM detectors d JOIN t ON t.detector = d.detector LEFT JOIN g ON g.item_id = d.item_id
     WHERE d.kind = 'm_test' GROUP BY d.detector""",
 )

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "provspark", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -59,16 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Fix a small intermediate table before it is joined to a large one.
+    """Fix an intermediate table that is joined to a large one: it is checkpointed, so every branch and retry sees the
+    same rows, and computed once, whatever its size.
 
-    Up to ``limit`` rows are taken into a local relation: its exact size lets the planner broadcast it, so the large
-    side is not shuffled, and every branch and retry sees the same rows. A larger table is checkpointed and joined as
-    any other.
+    Its rows are counted from the checkpoint. Up to ``limit`` of them may be broadcast, so that the large side is not
+    shuffled; beyond, the join is left to the planner and the adaptive skew join.
     """
-    taken = df.limit(limit + 1).toArrow()
-    if taken.num_rows <= limit:
-        return df.sparkSession.createDataFrame(taken, schema=df.schema)
-    return cut_lineage(df)
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.count() <= limit else fixed
 
 
 def partitions(spark: SparkSession) -> int:

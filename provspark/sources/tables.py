@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provspark.operators.scan import row_index
+
 
 def read_parquet_cols(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
@@ -38,12 +40,16 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     return normalise_paths(spark.read.text(path), "value")
 
 
-def write_scores_csv(df: DataFrame, path: str, score: str = "score") -> None:
-    """Ranked report: best first, unscored last, probability with four decimals, semicolons."""
+def write_scores_csv(df: DataFrame, path: str, item: str, score: str = "score") -> None:
+    """Ranked report: best first, equal scores by item, unscored last with an empty probability, four decimals,
+    semicolons; ``place`` counts from 1. Files are ranges of the ranking in order."""
     from provspark.functions.numeric import sigmoid
 
-    ranked = df.orderBy(F.col(score).desc_nulls_last())
-    ranked.withColumn("probability", F.format_string("%.4f", sigmoid(F.col(score)))).write.mode("overwrite").csv(
+    order = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    placed = row_index(df.withColumn("_order", order), "_order", "place", ties=[item]).withColumn("place", F.col("place") + 1)
+    ranked = placed.drop("_order").orderBy("place")
+    shown = F.when(F.col(score).isNotNull(), F.format_string("%.4f", sigmoid(F.col(score))))
+    ranked.withColumn("probability", shown).write.mode("overwrite").csv(
         path, sep=";", header=True
     )
 
