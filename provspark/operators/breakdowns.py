@@ -153,8 +153,16 @@ def flag_leaders(df: DataFrame, group: str, flag: str, n: int = 10) -> DataFrame
     )
 
 
-def provable_age_rates(df: DataFrame, source: str, age: str, flag: str) -> DataFrame:
-    """Pooled totals are wanted here, so grouping sets are right: every source and all, every age and all."""
+def provable_age_rates(
+    df: DataFrame, source: str, age: str, flag: str, first: DataFrame | None = None, item: str = "item_id"
+) -> DataFrame:
+    """Pooled totals are wanted here, so grouping sets are right: every source and all, every age and all.
+
+    ``first`` lists the items that stay where others are duplicates of them (such as the leaders of ``leader_clusters``);
+    the others leave before anything is counted.
+    """
+    if first is not None:
+        df = df.join(first.select(item), item, "left_semi")
     sums = [F.count("*").alias("n"), F.sum(F.col(flag).cast("bigint")).alias("flags"), rate(flag).alias("fpr")]
     out = df.cube(source, age).agg(*sums)
     return out.withColumns({c: F.coalesce(F.col(c), F.lit("all")) for c in (source, age)})

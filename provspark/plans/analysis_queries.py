@@ -285,7 +285,8 @@ def a40(spark, sf):
     "a41_provable_age_rates",
     """WITH r AS (SELECT source, CASE WHEN NOT contains(name, '@') THEN 'undated' WHEN day < DATE '1998-01-01' THEN 'provable' ELSE 'recent' END AS age,
         CASE WHEN regexp_extract(name, '_(\\d{3,4})x', 1) = '' THEN 'unknown' WHEN CAST(regexp_extract(name, '_(\\d{3,4})x', 1) AS INTEGER) <= 2560
-             THEN '<=2560 px' ELSE '>2560 px' END AS px, size > 400000 AS f FROM files)
+             THEN '<=2560 px' ELSE '>2560 px' END AS px, size > 400000 AS f
+        FROM files WHERE file_id IN (SELECT min(file_id) FROM files GROUP BY owner, source))
     SELECT 'age' AS strata, coalesce(source, 'all') AS source, coalesce(age, 'all') AS age, CAST(count(*) AS BIGINT) AS n,
            CAST(count(CASE WHEN f THEN 1 END) AS BIGINT) AS flags, round(avg(CASE WHEN f THEN 1.0::DOUBLE ELSE 0 END), 6) AS fpr
     FROM r GROUP BY CUBE (source, age)
@@ -295,12 +296,14 @@ def a40(spark, sf):
 def a41(spark, sf):
     width = X.parse_resolution(F.col("name"))
     day = X.file_date(F.col("name"))
-    rows = view(spark, sf, "files").select(
-        "source", F.when(day.isNull(), "undated").when(day < F.lit("1998-01-01").cast("date"), "provable").otherwise("recent").alias("age"),
+    files = view(spark, sf, "files")
+    first = files.groupBy("owner", "source").agg(F.min("file_id").alias("item_id"))  # the others stand for its duplicates
+    rows = files.select(
+        F.col("file_id").alias("item_id"), "source", F.when(day.isNull(), "undated").when(day < F.lit("1998-01-01").cast("date"), "provable").otherwise("recent").alias("age"),
         F.when(width == 0, None).when(width <= 2560, "<=2560 px").otherwise(">2560 px").alias("px"), (F.col("size") > 400000).alias("f"),
     )
-    ages = B.provable_age_rates(rows, "source", "age", "f").select(F.lit("age").alias("strata"), "source", "age", "n", "flags", r6("fpr"))
-    sizes = B.provable_age_rates(rows.where("px is not null").withColumn("source", F.lit("all")), "source", "px", "f")
+    ages = B.provable_age_rates(rows, "source", "age", "f", first).select(F.lit("age").alias("strata"), "source", "age", "n", "flags", r6("fpr"))
+    sizes = B.provable_age_rates(rows.where("px is not null").withColumn("source", F.lit("all")), "source", "px", "f", first)
     sizes = sizes.where("px <> 'all'").distinct().select(F.lit("px").alias("strata"), "source", F.col("px").alias("age"), "n", "flags", r6("fpr"))
     return ages.unionByName(sizes)
 

@@ -488,12 +488,14 @@ def x01(spark, sf):
           CASE WHEN rating = 0 THEN 'val' ELSE 'test' END AS split, CAST(rating AS VARCHAR) AS rating, path FROM items WHERE model = 'en'),
     w AS (SELECT item_id, 'web' AS source, 1, quality_name, concat('web:', coalesce(creator, 'None')), 'x', coalesce(nsfw, CAST(rating AS VARCHAR)), path
           FROM (SELECT *, CASE WHEN n_chars > 1500 THEN 'base-l' ELSE 'web' END AS quality_name,
-                       CASE WHEN rating > 1 THEN 'X' END AS nsfw FROM items) WHERE model = 'fr'),
+                       CASE WHEN rating > 1 THEN 'X' WHEN rating = 1 THEN NULL END AS nsfw FROM items) WHERE model = 'fr'),
     p AS (SELECT item_id, 'prompted' AS source, 1, 'prompted', concat('prompted:', coalesce(creator, sha256(text))), 'x', CAST(rating AS VARCHAR), path
           FROM items WHERE model = 'de'),
-    t AS (SELECT item_id, 'pool' AS source, 0, 'mensch', concat('pool:', {KEY}), {split_sql(KEY, 20, '< 0', '= 0')}, CAST(rating AS VARCHAR), path
-          FROM items WHERE model = 'es')
-    SELECT item_id, source, label, model, grp, split, rating, path FROM h
+    t AS (SELECT item_id, 'pool' AS source, 0, 'mensch', concat('gallery:', {KEY}), {split_sql(KEY, 20, '< 0', '= 0')}, CAST(rating AS VARCHAR), path
+          FROM items WHERE model = 'es'),
+    b AS (SELECT item_id, 'rebuilt' AS source, 1, 'codec', concat('gallery:', coalesce(creator, CAST(item_id AS VARCHAR))),
+          CASE WHEN rating = 0 THEN 'val' ELSE 'test' END, CAST(rating AS VARCHAR), path FROM items WHERE n_chars % 11 = 0)
+    SELECT item_id, source, label, model, grp, split, rating, path FROM h UNION ALL SELECT * FROM b
     UNION ALL SELECT * REPLACE ({split_sql('COLUMNS(4)', 20, '< 2', '= 2').replace('COLUMNS(4)', 'g')} AS s) FROM
       (SELECT w.item_id, w.source, 1 AS l, quality_name, w.g, w.s, w.r, w.path FROM w AS w(item_id, source, l, quality_name, g, s, r, path))
     UNION ALL SELECT * REPLACE ({split_sql('g', 20, '< 2', '= 2')} AS s) FROM
@@ -509,15 +511,21 @@ def p01(spark, sf):
     )
     web = base.where("model = 'fr'").select(
         "item_id", "path", "reason", "rating", F.col("creator").alias("user"),
-        F.when(F.col("n_chars") > 1500, "base-l").alias("basis"), F.when(F.col("rating") > 1, "X").alias("nsfw"),
+        F.when(F.col("n_chars") > 1500, "base-l").alias("basis"), F.when(F.col("rating") > 1, "X").when(F.col("rating") < 1, "").alias("nsfw"),
     )
     prompted = base.where("model = 'de'").select(
         "item_id", "path", "reason", "rating", F.col("creator").alias("job"), F.sha2("text", 256).alias("sha256")
     )
     pool = base.where("model = 'es'").select("item_id", "path", "reason", "rating", F.col("creator").alias("artist"))
-    out = unify_sources(
-        {"gallery": ("human", gallery), "web": ("web", web), "prompted": ("prompted", prompted), "pool": ("human_pool", pool)}
+    rebuilt = base.where("n_chars % 11 = 0").select(
+        "item_id", "path", F.lit("").alias("reason"), "rating", F.lit("codec").alias("basis"),
+        F.concat(F.lit("gallery:"), F.coalesce("creator", F.col("item_id").cast("string"))).alias("grp"),
+        F.when(F.col("rating") == 0, "val").otherwise("test").alias("split"),
     )
+    out = unify_sources({
+        "gallery": ("human", gallery), "web": ("web", web), "prompted": ("prompted", prompted),
+        "pool": ("human_pool", pool, "gallery"), "rebuilt": ("derived", rebuilt),
+    })
     return out.select("item_id", "source", "label", "model", "grp", "split", "rating", "path")
 
 

@@ -16,15 +16,49 @@ MANIFEST_SCHEMA = (
 )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with one fixed schema; missing keys become null, unreadable lines drop."""
-    rows = spark.read.schema(MANIFEST_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+KEYS = [part.split()[0] for part in MANIFEST_SCHEMA.split(", ")][:-1]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.withColumn("_t", F.from_json("value", MANIFEST_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+
+
+def read_manifest(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """JSON lines with one fixed schema; missing keys become null, and a JSON object ``rest`` holds all other keys.
+
+    A line that is no JSON object fails the read, unless it is to be skipped: ``unreadable_lines`` returns such lines.
+    """
+    rows = _lines(spark, path)
+    bad = F.col("_t._corrupt_record").isNotNull()
+    if skip_unreadable:
+        rows = rows.where(~bad)
+    else:
+        message = F.concat(F.lit("unreadable manifest line: "), F.col("value"))
+        rows = rows.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    other = F.map_filter(F.from_json("value", "map<string, variant>"), lambda k, v: ~k.isin(*KEYS))
+    partitions = [c for c in rows.columns if c not in ("value", "_t")]
+    return rows.select(*(F.col(f"_t.{k}") for k in KEYS), *partitions, F.nullif(F.to_json(other), F.lit("{}")).alias("rest"))
+
+
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_manifest`` refuses."""
+    return _lines(spark, path).where(F.col("_t._corrupt_record").isNotNull()).select("value")
 
 
 def kept_rows(manifest: DataFrame) -> DataFrame:
-    """Rows with a file and without a reject reason."""
-    return manifest.where(F.col("datei").isNotNull() & (F.coalesce(F.col("grund"), F.lit("")) == ""))
+    """Rows with a file and without a reject reason; an empty name is no file."""
+    return manifest.where((F.coalesce(F.col("datei"), F.lit("")) != "") & (F.coalesce(F.col("grund"), F.lit("")) == ""))
+
+
+def _json_lines(df: DataFrame) -> DataFrame:
+    """One JSON object per row; the keys in ``rest`` stand beside the columns again."""
+    own = F.to_json(F.struct(*[c for c in df.columns if c != "rest"]))
+    if "rest" not in df.columns:
+        return df.select(own.alias("value"))
+    rows = df.select(own.alias("own"), "rest").select("own", "rest", F.when(F.col("own") == "{}", "").otherwise(",").alias("c"))
+    joined = F.concat(F.expr("left(own, length(own) - 1)"), F.col("c"), F.expr("substring(rest, 2)"))
+    return rows.select(F.when(F.col("rest").isNull(), F.col("own")).otherwise(joined).alias("value"))
 
 
 def append_manifest(df: DataFrame, path: str, partition: str = "source") -> None:
@@ -32,9 +66,12 @@ def append_manifest(df: DataFrame, path: str, partition: str = "source") -> None
 
 
 def rewrite_manifest(df: DataFrame, root: str) -> str:
-    """Write a complete new version beside the old ones and point to it last; readers see the old or the new table."""
+    """Write a complete new version beside the old ones and point to it last; readers see the old or the new table.
+
+    Keys that the schema does not name are written back from ``rest``.
+    """
     version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").json(f"{root}/{version}")
+    _json_lines(df).write.mode("errorifexists").text(f"{root}/{version}")
     spark = df.sparkSession
     stamp = F.unix_micros(F.current_timestamp())
     pointer = spark.range(1).select(F.lit(version).alias("version"), stamp.alias("written"))

@@ -21,7 +21,10 @@ def test_manifest_rows_with_fewer_keys(spark, folder):
     rows = [{"id": 1, "datei": "a", "tags": ["x"]}, {"id": "b", "grund": "foto"}, {"id": 3, "datei": "c", "grund": "gesperrt"}]
     with open(f"{folder}/m.jsonl", "w") as f:
         f.write("\n".join(map(json.dumps, rows)) + "\n{broken\n")
-    df = manifests.read_manifest(spark, f"{folder}/m.jsonl")
+    with pytest.raises(Exception, match="unreadable manifest line: .broken"):
+        manifests.read_manifest(spark, f"{folder}/m.jsonl").collect()
+    assert [r["value"] for r in manifests.unreadable_lines(spark, f"{folder}/m.jsonl").collect()] == ["{broken"]
+    df = manifests.read_manifest(spark, f"{folder}/m.jsonl", skip_unreadable=True)
     assert sorted(r["id"] for r in df.collect()) == ["1", "3", "b"]
     assert [r["id"] for r in manifests.kept_rows(df).collect()] == ["1"]
 
@@ -33,6 +36,18 @@ def test_rewrite_swaps_whole_versions(spark, folder):
     assert [tuple(r) for r in manifests.current_manifest(spark, folder).select("id", "grund").collect()] == [("1", "x")]
 
 
+def test_unknown_keys_survive_a_rewrite(spark, folder):
+    lines = [{"id": "1", "url": 'a"b', "vae": {"k": [1, 2.5]}, "n": None}, {"id": "2"}, {"dublette_von": "x"}]
+    with open(f"{folder}/m.jsonl", "w") as f:
+        f.write("\n".join(map(json.dumps, lines)))
+    df = manifests.read_manifest(spark, f"{folder}/m.jsonl")
+    manifests.rewrite_manifest(df.withColumn("grund", F.when(F.col("id") == "2", "foto")), f"{folder}/t")
+    again = manifests.current_manifest(spark, f"{folder}/t")
+    assert {r["id"]: r["grund"] for r in again.collect()} == {"1": None, "2": "foto", None: None}
+    found = [json.loads(r["rest"] or "{}") for r in again.collect()]
+    assert all({k: v for k, v in line.items() if k != "id"} in found for line in lines)
+
+
 def test_file_scan(spark, folder):
     import os
 
