@@ -19,8 +19,8 @@ LENGTH, FIRST, SECOND = 100, 32, 64
 SHIFT = LENGTH - SECOND
 #: Bytes of a text that are ranked at once, and entries that a task holds before it hands them on.
 CHUNK, HELD = 1 << 20, 150_000
-#: Ranges of ranks for each of the session's shuffle partitions: one is sorted in a task at a time.
-RANGES = 4
+#: Ranges of ranks for each of the session's shuffle partitions: a task sorts one at a time.
+RANGES = 2
 #: Kinds of packed rows.
 RUN, SPAN, OPEN = 0, 1, 2
 
@@ -94,7 +94,7 @@ def _deal_runs(held: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[tup
     order = np.lexsort((at, doc, whole, inner))
     inner, whole, doc, at, more = (x[order] for x in (inner, whole, doc, at, more))
     later = _later(doc, at, inner, whole)
-    yield from by_owner(SPAN, n_parts, *_spans(doc[later], at[later], at[later] + more[later] + LENGTH))
+    yield from by_owner(SPAN, n_parts // RANGES, *_spans(doc[later], at[later], at[later] + more[later] + LENGTH))
     inner, whole, doc, at, more = (x[~later] for x in (inner, whole, doc, at, more))
     cuts = np.append(np.searchsorted(inner, starts(n_parts)), len(inner))
     for p in np.flatnonzero(np.diff(cuts)):
@@ -142,6 +142,7 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa
             yield rows([(part, SPAN, a, b, c)])
         else:
             by_part.setdefault(part, []).append((undeltas(a), unplanes(b).view(U64), unplanes(c), unplanes(d)))
+    settled, still_open = [], []
     for part in list(by_part):
         inner, whole, doc, at = (np.concatenate(x) for x in zip(*by_part.pop(part), strict=True))
         order = np.lexsort((at, doc, whole, inner))
@@ -150,11 +151,20 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa
         later = _later(doc, at, inner, whole)
         group = np.cumsum(_first(inner)) - 1
         kinds = np.bincount(group, weights=_first(inner, whole))[group] if len(group) else np.zeros(0)
-        out = list(by_owner(SPAN, n_parts, *_spans(doc[later], at[later], at[later] + more[later] + LENGTH)))
+        settled.append(_spans(doc[later], at[later], at[later] + more[later] + LENGTH))
         still = ~later & (kinds > 1)
-        out += by_owner(OPEN, n_parts, doc[still], at[still], more[still])
-        if out:
-            yield rows(out)
+        still_open.append((doc[still], at[still], more[still]))
+    yield from _handed_on(n_parts, settled, still_open)
+
+
+def _handed_on(n_parts: int, settled: list[tuple], still_open: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """What a task has found in all its ranges, once for each part of documents."""
+    out = []
+    for kind, found in ((SPAN, settled), (OPEN, still_open)):
+        if found:
+            out += by_owner(kind, n_parts // RANGES, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    if out:
+        yield rows(out)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +222,7 @@ def _deal_windows(held: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[
     order = np.lexsort((at, doc, right, left))
     left, right, doc, at = (x[order] for x in (left, right, doc, at))
     later = _later(doc, at, left, right)
-    yield from by_owner(SPAN, n_parts, *_spans(doc[later], at[later], at[later] + LENGTH))
+    yield from by_owner(SPAN, n_parts // RANGES, *_spans(doc[later], at[later], at[later] + LENGTH))
     left, right, doc, at = (x[~later] for x in (left, right, doc, at))
     cuts = np.append(np.searchsorted(left, starts(n_parts)), len(left))
     for p in np.flatnonzero(np.diff(cuts)):
@@ -228,14 +238,14 @@ def _settle_windows(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator
             yield rows([(part, SPAN, a, b, c)])
         else:
             by_part.setdefault(part, []).append((undeltas(a), unplanes(b).view(U64), unplanes(c), unplanes(d)))
+    settled = []
     for part in list(by_part):
         left, right, doc, at = (np.concatenate(x) for x in zip(*by_part.pop(part), strict=True))
         order = np.lexsort((at, doc, right, left))
         left, right, doc, at = (x[order] for x in (left, right, doc, at))
         later = _later(doc, at, left, right)
-        out = list(by_owner(SPAN, n_parts, *_spans(doc[later], at[later], at[later] + LENGTH)))
-        if out:
-            yield rows(out)
+        settled.append(_spans(doc[later], at[later], at[later] + LENGTH))
+    yield from _handed_on(n_parts, settled, [])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,18 +265,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     n_parts = RANGES * parts(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
-    settled = ranked.repartition(n_parts, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
-    found = settled.repartition(n_parts, "part").mapInArrow(
+    settled = ranked.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
+    found = settled.repartition(n_parts // RANGES, "part").mapInArrow(
         _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     found = cut_lineage(found)
     still = found.where(F.size("at") > 0).select("id", "at", "more")
     windows = source.join(still, "id").mapInArrow(lambda b: _rank_windows(b, n_parts), SCHEMA)
-    late = windows.repartition(n_parts, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
+    late = windows.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
     known = found.where(F.size("start") > 0).select("id", "start", "end").mapInArrow(
         lambda b: _as_blobs(b, n_parts), SCHEMA
     )
-    spans = late.unionByName(known).repartition(n_parts, "part").mapInArrow(
+    spans = late.unionByName(known).repartition(n_parts // RANGES, "part").mapInArrow(
         _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     return cut_lineage(spans.select("id", "start", "end"))
@@ -278,7 +288,7 @@ def _as_blobs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Re
         count = np.diff(start.offsets.to_numpy())
         doc = np.repeat(batch.column("id").to_numpy(), count)
         flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("start", "end")]
-        out = list(by_owner(SPAN, n_parts, doc, *flat))
+        out = list(by_owner(SPAN, n_parts // RANGES, doc, *flat))
         if out:
             yield rows(out)
 
