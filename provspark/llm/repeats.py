@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, blobs, lists, mix, parts, pieces, utf8
+from provspark.llm.common import U64, blobs, lists, mix, parts, pieces, release, utf8
 from provspark.llm.packed import SCHEMA, by_owner, deltas, entries, planes, rows, starts, undeltas, unplanes
 from provspark.llm.words import prefix_sums, span_hash
 from provspark.session import cut_lineage
@@ -213,7 +213,7 @@ def _windows(raw: np.ndarray, doc: int, at: np.ndarray, more: np.ndarray) -> tup
     n = more + 1
     first = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     left = span_hash(sums, first, first + SECOND)
-    right = span_hash(sums, first + SHIFT, first + SHIFT + SECOND)
+    right = span_hash(sums, first + SHIFT, first + SHIFT + SECOND) >> U64(32)  # 96 bits tell windows apart
     return left, right, np.full(len(first), doc), place[first]
 
 
@@ -262,6 +262,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     of repeats, goes on with all its windows, sorted by the pair of ranks at offset ``SHIFT``. Equal keys that a task
     sees more than once leave it once, so a passage in very many documents is one row per task.
     """
+    spans = _repeated_spans(docs, id_col, text)
+    release(docs.sparkSession)
+    return spans
+
+
+def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     n_parts = RANGES * parts(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
@@ -270,6 +276,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     found = cut_lineage(found)
+    del ranked, settled
+    release(docs.sparkSession)
     still = found.where(F.size("at") > 0).select("id", "at", "more")
     windows = source.join(still, "id").mapInArrow(lambda b: _rank_windows(b, n_parts), SCHEMA)
     late = windows.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
