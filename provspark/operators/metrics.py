@@ -1,7 +1,7 @@
 """Detector metrics per group: exceedance, AUC, TPR at a false-positive rate, macro means.
 
 Columns: detector, grp, kind, score. Kinds: ``m_val`` and ``m_test`` are human groups, ``k_gen`` and ``k_kanal`` machine
-groups by generator and by channel.
+groups by generator and by channel. A score histogram may stand in for the rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators.histogram import mean_of, rows_of, times
 from provspark.operators.ranks import average_ranks, value_counts
 from provspark.operators.scan import scan
 from provspark.operators.thresholds import roc_bracket
@@ -25,7 +26,9 @@ def exceeds(score: str = "score", threshold: str = "threshold") -> Column:
 
 def exceed_rate(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str], on: Sequence[str] = ("detector",)):
     """Share of rows strictly above the threshold, with n, per ``keys``."""
-    return scores.join(thresholds, list(on)).groupBy(*keys).agg(F.avg(exceeds()).alias("rate"), F.count("*").alias("n"))
+    return scores.join(thresholds, list(on)).groupBy(*keys).agg(
+        mean_of(exceeds(), scores).alias("rate"), rows_of(scores).alias("n")
+    )
 
 
 def auc_by_group(
@@ -37,11 +40,11 @@ def auc_by_group(
     group reads how many negatives lie below and beside each of its scores. Work does not grow with groups x negatives.
     """
     keys, groups = list(keys), list(groups)
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     types = dict(positives.select(*groups).dtypes)
     no_group = [F.lit(None).cast(types[g]).alias(g) for g in groups]
-    rows = negatives.select(*keys, *no_group, "score", one.alias("_neg"), zero.alias("_pos")).unionByName(
-        positives.select(*keys, *groups, "score", zero.alias("_neg"), one.alias("_pos"))
+    rows = negatives.select(*keys, *no_group, "score", times(negatives).alias("_neg"), zero.alias("_pos")).unionByName(
+        positives.select(*keys, *groups, "score", zero.alias("_neg"), times(positives).alias("_pos"))
     )
     counted = (
         rows.where(F.col("score").isNotNull())
@@ -51,7 +54,8 @@ def auc_by_group(
     placed = scan(
         counted, keys, "score", {"_upto": ("upto", F.col("_neg")), "_beside": ("peers", F.col("_neg"))}
     ).where(F.col("_pos") > 0)
-    total = settle(negatives.groupBy(*keys).agg(F.count("score").alias("n_neg")))
+    scored = negatives.where(F.col("score").isNotNull())
+    total = scored.groupBy(*keys).agg(rows_of(negatives).alias("n_neg"))
     wins = F.col("_pos") * (F.col("_upto") - F.col("_beside") / 2.0)
     joined = placed.groupBy(*keys, *groups).agg(F.sum(wins).alias("_u"), F.sum("_pos").alias("n_pos"))
     joined = joined.join(total, keys) if keys else joined.withColumn("n_neg", F.lit(total.first()["n_neg"]))
@@ -90,8 +94,8 @@ def tpr_at_fpr(
     """
     bracket = roc_bracket(negatives, fpr, keys)
     step = (F.col("target") - F.col("fpr_above")) / (F.col("fpr_at") - F.col("fpr_above"))
-    above = F.avg((F.col("score") > F.col("edge")).cast("double"))
-    at = F.avg((F.col("score") >= F.col("edge")).cast("double"))
+    above = mean_of((F.col("score") > F.col("edge")).cast("double"), positives)
+    at = mean_of((F.col("score") >= F.col("edge")).cast("double"), positives)
     return (
         positives.join(bracket, list(keys))
         .groupBy(*keys, *groups, "target", "fpr_above", "fpr_at")

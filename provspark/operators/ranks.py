@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators.histogram import rows_of
 from provspark.operators.scan import scan, split_points
 from provspark.session import settle
 
@@ -15,7 +16,7 @@ ACCURACY = 10_000
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """Distinct values with multiplicity; combines map-side, so ties and copies never travel."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows_of(df).alias(n))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "avg_rank") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provspark.functions.numeric import logit
 from provspark.operators import metrics as M
 from provspark.operators import thresholds as T
+from provspark.operators.histogram import mean_of, rows_of, score_histogram
 from provspark.operators.ranks import exact_quantiles
 from provspark.session import settle
 
@@ -57,7 +58,7 @@ def fpr_curve(negatives: DataFrame, scores: DataFrame, targets: Sequence[float],
     thr = T.threshold_group_mean(negatives, targets)
     base = thr.where(F.col("target") == stored).select("detector", F.col("threshold").alias("_stored"))
     per_group = scores.join(thr, "detector").groupBy("detector", "target", "threshold", "kind", "grp").agg(
-        M_rate().alias("rate")
+        mean_of(M.exceeds(), scores).alias("rate")
     )
     return (
         per_group.groupBy("detector", "target", "threshold")
@@ -74,8 +75,10 @@ def benchmark(scores: DataFrame, fpr: float) -> DataFrame:
     """Every detector under one rule, as a long metric table.
 
     Detectors whose scores all lie in [0, 1] are taken through the logit. Threshold: mean false-positive rate over the
-    validation groups; false positives on the test groups; hits and AUC per machine group; macro rows.
+    validation groups; false positives on the test groups; hits and AUC per machine group; macro rows. Everything is
+    read from one histogram of the scores.
     """
+    scores = score_histogram(scores)
     span = settle(
         scores.groupBy("detector").agg(((F.min("score") >= 0) & (F.max("score") <= 1)).alias("_probability"))
     )
@@ -112,7 +115,7 @@ def equal_fpr_compare(negatives: DataFrame, positives: DataFrame, fpr: float) ->
     """Every head at the threshold that gives the same mean false-positive rate: hits and AUC per group, mean hit."""
     thr = T.threshold_group_mean(negatives, [fpr])
     hits = positives.join(thr, "detector").groupBy("detector", "grp", "threshold").agg(
-        M_rate().alias("hit"), F.count("*").alias("n")
+        mean_of(M.exceeds(), positives).alias("hit"), rows_of(positives).alias("n")
     )
     auc = M.auc_by_group(negatives, positives).select("detector", "grp", "auc")
     mean = hits.groupBy("detector").agg(F.avg("hit").alias("mean_hit"))

@@ -1,6 +1,7 @@
 """Thresholds for a wanted false-positive rate.
 
-A score exceeds a threshold only when it is strictly greater. Columns: detector, grp, score.
+A score exceeds a threshold only when it is strictly greater. Columns: detector, grp, score; a score histogram may stand
+in for the rows: it needs no sketch to cut off what lies below the threshold.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators.histogram import TIMES, rows_of
 from provspark.operators.ranks import ACCURACY, exact_quantiles, value_counts
 from provspark.operators.scan import scan
 from provspark.session import settle
@@ -37,6 +39,11 @@ def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
     under the largest per-group quantile at 1 - G * fpr. A sketch of that quantile (moved down by its rank error) cuts
     off everything below: about G * fpr of the rows stay.
     """
+    if TIMES in negatives.columns:
+        per_group = negatives.groupBy("detector", "grp").agg(rows_of(negatives).alias("_n"))
+        groups = per_group.groupBy("detector").agg(F.count("*").alias("_g"))
+        shares = per_group.join(groups, "detector").select("detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share"))
+        return negatives.join(settle(shares), ["detector", "grp"])
     steps = [1]
     while fpr * steps[-1] < 1.0:
         steps.append(steps[-1] * 2)
@@ -67,10 +74,10 @@ def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFram
 
     The tail of the largest target holds the tails of all others, so one scan serves every target.
     """
+    tail = group_tail(negatives, max(fpr))
     counted = (
-        group_tail(negatives, max(fpr))
-        .groupBy("detector", "grp", "share", "score")
-        .agg(F.count(F.lit(1)).alias("n"))
+        tail.groupBy("detector", "grp", "share", "score")
+        .agg(rows_of(tail).alias("n"))
         .groupBy("detector", "score")
         .agg(F.sum(F.col("share") * F.col("n")).alias("w"))
     )
@@ -84,7 +91,7 @@ def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFram
 
 def cumulative_weight(negatives: DataFrame) -> DataFrame:
     """For every distinct score the equal-group weight strictly above it."""
-    sizes = negatives.groupBy("detector", "grp").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = negatives.groupBy("detector", "grp").agg(rows_of(negatives).alias("_n"))
     groups = sizes.groupBy("detector").agg(F.count(F.lit(1)).alias("_g"))
     weights = sizes.join(groups, "detector").select(
         "detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share")
@@ -104,6 +111,8 @@ def _tail(df: DataFrame, keys: Sequence[str], value: str, share: float) -> tuple
     keys = list(keys)
     prob = max(0.0, 1.0 - share - 2.0 / ACCURACY)
     known = df.where(F.col(value).isNotNull())
+    if TIMES in df.columns:
+        return known, settle(known.groupBy(*keys).agg(rows_of(df).alias("total")))
     stats = settle(
         known.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("total"), F.percentile_approx(value, prob, ACCURACY).alias("_cut")

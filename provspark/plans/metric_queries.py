@@ -11,6 +11,7 @@ from provspark.operators import thresholds as T
 from provspark.plans.fixtures import table, view
 from provspark.plans.oracle import SPLIT, auc_ctes, threshold_ctes, tpr_ctes
 from provspark.plans.registry import query
+from provspark.operators.histogram import score_histogram
 from provspark.session import settle
 
 MACHINE = "kind in ('k_gen', 'k_kanal')"
@@ -26,6 +27,13 @@ def big(column, name=None):
 
 
 def parts(spark, sf):
+    """All rows, validation, test and machine rows, from one histogram of the scores."""
+    d = score_histogram(view(spark, sf, "detectors"))
+    return d, d.where("kind = 'm_val'"), d.where("kind = 'm_test'"), d.where(MACHINE)
+
+
+def row_parts(spark, sf):
+    """The same as rows, for reports that need items or sketches."""
     d = view(spark, sf, "detectors")
     return d, d.where("kind = 'm_val'"), d.where("kind = 'm_test'"), d.where(MACHINE)
 
@@ -43,7 +51,7 @@ def parts(spark, sf):
     """,
 )
 def a05(spark, sf):
-    _, val, _, _ = parts(spark, sf)
+    _, val, _, _ = row_parts(spark, sf)
     return T.threshold_quantile(val, [0.01, 0.05]).select("detector", "target", r6("threshold"))
 
 
@@ -55,7 +63,7 @@ def a05(spark, sf):
     """,
 )
 def a06(spark, sf):
-    _, val, _, _ = parts(spark, sf)
+    _, val, _, _ = row_parts(spark, sf)
     return T.threshold_group_mean(val, [0.01, 0.05, 0.001]).select("detector", "target", r6("threshold"))
 
 
@@ -74,7 +82,7 @@ def a06(spark, sf):
     """,
 )
 def a07(spark, sf):
-    _, val, _, machine = parts(spark, sf)
+    _, val, _, machine = row_parts(spark, sf)
     cut = T.threshold_kth(val, 0.0025)
     hits = machine.join(cut, "detector").groupBy("detector", "n", "k", "threshold").agg(
         F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("hit_above"),
@@ -97,8 +105,8 @@ def w13(spark, sf):
 # --- rates and macro means ------------------------------------------------------------------------------------------
 
 
-def rates(spark, sf):
-    d, val, _, _ = parts(spark, sf)
+def rates(spark, sf, split=None):
+    d, val, _, _ = split or parts(spark, sf)
     thr = T.threshold_group_mean(val, [0.01])
     return settle(M.exceed_rate(d.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"]))
 
@@ -316,7 +324,7 @@ def m14(spark, sf):
       FROM c WHERE neg = 1 GROUP BY condition, grp) GROUP BY condition) f ON f.condition = c.condition GROUP BY c.condition""",
 )
 def m13(spark, sf):
-    d, val, _, _ = parts(spark, sf)
+    d, val, _, _ = row_parts(spark, sf)
     fixed = T.threshold_group_mean(val.where("detector = 'd1'"), [0.01]).select("threshold")
     rows = d.where("kind <> 'm_val'").select(
         F.col("detector").alias("condition"), "grp", (F.col("kind") != "m_test").cast("int").alias("label"), "score"
@@ -419,9 +427,9 @@ def j08(spark, sf):
     FROM j, x GROUP BY x.experiment""",
 )
 def a39(spark, sf):
-    _, _, test, machine = parts(spark, sf)
-    auc = M.auc_by_group(test, machine).select("detector", "grp", "auc")
-    cells = settle(rates(spark, sf).join(auc, ["detector", "grp"], "left"))
+    split = parts(spark, sf)
+    auc = M.auc_by_group(split[2], split[3]).select("detector", "grp", "auc")
+    cells = settle(rates(spark, sf, split).join(auc, ["detector", "grp"], "left"))
     experiments = cells.where("kind <> 'm_test'").select(F.col("grp").alias("experiment"), "grp").distinct()
     out = P.exclusion_summary(
         cells.where("detector = 'd1'"), cells.where("detector = 'd2'"), cells.where("detector = 'd3'"), experiments
@@ -523,7 +531,7 @@ def t03(spark, sf):
     WHERE d.kind = 'm_test' GROUP BY d.detector""",
 )
 def a34(spark, sf):
-    _, val, test, _ = parts(spark, sf)
+    _, val, test, _ = row_parts(spark, sf)
     thr = T.threshold_group_mean(val, [0.01, 0.001])
     gate = table(spark, sf, "events").where(F.get_json_object("props", "$.k").cast("bigint") >= 90)
     out = P.pipeline_rates(test, gate.select(F.col("event_id").alias("item_id")), thr, review=0.01, auto=0.001)
