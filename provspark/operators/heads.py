@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.hashing import uniform
-from provspark.functions.vectors import dot, standardise
+from provspark.functions.vectors import dot
 from provspark.operators.metrics import auc_by_group, auc_two_sided, tpr_at_fpr
 from provspark.operators.ranks import exact_quantiles
+from provspark.functions.numeric import ERF_ONE, ERF_TERMS
 from provspark.operators.thresholds import threshold_group_mean
 from provspark.session import cut_lineage
 
@@ -28,35 +29,50 @@ def _numbers(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def logistic_score(vec: Column, head: Mapping) -> Column:
-    """Standardise and score inside the JVM."""
-    z = standardise(vec, _numbers(head["mean"]), _numbers(head["scale"]))
-    return dot(z, _numbers(head["coef"])) + F.lit(float(head["intercept"]))
+def erf(x: np.ndarray) -> np.ndarray:
+    """The series of ``functions.numeric.gelu`` for a whole array."""
+    z = np.clip(x, -ERF_ONE, ERF_ONE)
+    q, term = 2.0 * z * z, z.copy()
+    total = z.copy()
+    for n in range(1, ERF_TERMS + 1):
+        term *= q / (2 * n + 1)
+        total += term
+        if np.abs(term).max(initial=0.0) < 1e-17:
+            break
+    return total * np.exp(-z * z) * (2.0 / math.sqrt(math.pi))
 
 
 def _mlp(x: np.ndarray, head: Mapping) -> np.ndarray:
-    erf = np.frompyfunc(math.erf, 1, 1)
     z = (x - np.asarray(head["mean"])) / np.asarray(head["scale"])
     h = z @ np.asarray(head["w1"]).T + np.asarray(head["b1"])
-    h = 0.5 * h * (1.0 + erf(h / math.sqrt(2.0)).astype(np.float64))
+    h = 0.5 * h * (1.0 + erf(h / math.sqrt(2.0)))
     return (h @ np.asarray(head["w2"]).T + np.asarray(head["b2"]))[:, 0]
 
 
 def score_heads(features: DataFrame, heads: Sequence[Mapping], vec: str = "vec", score: str = "score") -> DataFrame:
-    """Mean logit over an ensemble. Logistic heads stay in the JVM; MLP heads run on Arrow batches."""
+    """Mean logit over an ensemble, as matrix products over Arrow batches: the plan does not grow with the width.
+
+    The logistic heads of an ensemble are one product with the sum of their scaled weights. Null vectors score null.
+    """
     linear = [h for h in heads if h["kind"] == "logistic"]
     nets = [h for h in heads if h["kind"] == "mlp"]
-    total = F.lit(0.0)
+    weight, shift = None, 0.0
     for h in linear:
-        total = total + logistic_score(F.col(vec), h)
-    if nets:
-
-        def forward(batch: pd.Series) -> pd.Series:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in batch]) if len(batch) else np.zeros((0, 1))
-            return pd.Series(sum(_mlp(x, h) for h in nets) if len(batch) else [], dtype="float64")
-
-        total = total + F.pandas_udf(forward, "double")(F.col(vec))
-    return features.withColumn(score, total / F.lit(float(len(heads))))
+        scaled = np.asarray(h["coef"], np.float64) / np.asarray(h["scale"], np.float64)
+        weight = scaled if weight is None else weight + scaled
+        shift += float(h["intercept"]) - float(scaled @ np.asarray(h["mean"], np.float64))
+    count = float(len(heads))
+
+    def forward(batch: pd.Series) -> pd.Series:
+        out = np.full(len(batch), np.nan)
+        known = np.flatnonzero(batch.notna().to_numpy())
+        if len(known):
+            x = np.stack(batch.iloc[known].to_list()).astype(np.float64)
+            total = np.zeros(len(known)) if weight is None else x @ weight + shift
+            out[known] = sum((_mlp(x, h) for h in nets), total) / count
+        return pd.Series(out).where(batch.notna().to_numpy())
+
+    return features.withColumn(score, F.pandas_udf(forward, "double")(F.col(vec)))
 
 
 def train_logistic(
