@@ -21,13 +21,15 @@ from provspark.session import cut_lineage
 WORDS, LEAST = 5, (75, 100)
 #: Shingles that a task holds before it hands them on in blobs, and low bits of their hashes that are not sent: with 56
 #: bits, two unlike sets of a thousand shingles share one by chance once in 10 ** 11 pairs.
-HELD, UNSENT = 1_500_000, 8
+HELD, UNSENT = 1_000_000, 8
 #: Ranges of shingles for each of the session's shuffle partitions.
 RANGES = 2
 #: Weight of the logarithm in the choice of how many lists are probed instead of merged.
 PROBE = 0.01
 #: Rounds in which each list's members meet one of them, before the members that are still apart meet each other.
-ROUNDS = 3
+ROUNDS = 1
+#: Documents of a block (about), where those that are still apart are searched block against block.
+BLOCK = 256
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int = 0):
@@ -78,7 +80,7 @@ def _post(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.Record
             out.append((int(p), 1, planes(np.array(ids, np.int64)[i]), planes(size[i]), planes(keys[i, 0]), planes(keys[i, 1])))
         return packed(out)
 
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 19):
         found = shingle_sets(*utf8(batch.column("text")))
         ids += batch.column("id").to_pylist()
         sets += found
@@ -180,41 +182,83 @@ def _once(h: np.ndarray) -> np.ndarray:
     return h if len(first) == len(h) else h[first]
 
 
+class Lists:
+    """Inverted lists of a block of sets: the members of each shingle, in rising order."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        h, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(h, kind="stable")
+        h, self.member = h[order], member[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+        self.shingle, self.start = h[first], np.append(first, len(h))
+        self.sizes = sizes
+
+    def search(self, query: np.ndarray, n: int) -> np.ndarray:
+        """Overlap of each set that reaches the needed one with the query (sorted, of n shingles), else 0.
+
+        The longest lists of the query, of a number that grows with the needed overlap T, are set aside: the others are
+        merged, and only sets that occur T - (lists set aside) times are looked up in the long ones by binary search.
+        """
+        need = needed(n, self.sizes)
+        total = np.zeros(len(self.sizes), np.int64)
+        at = np.searchsorted(self.shingle, query)
+        at = at[at < len(self.shingle)]
+        at = np.unique(at[np.isin(self.shingle[at], query)])
+        if not len(at):
+            return total
+        start, end = self.start[at], self.start[at + 1]
+        length = end - start
+        least = int(need.min())
+        aside = max(0, min(int(least / (PROBE * np.log2(max(2, int(length.max()))) + 1)), least - 1, len(at) - 1))
+        order = np.argsort(length, kind="stable")
+        short, long = order[: len(order) - aside], order[len(order) - aside :]
+        merged = np.sort(np.concatenate([self.member[start[k] : end[k]] for k in short]), kind="stable")  # runs merge
+        count = np.bincount(merged, minlength=len(total))
+        able = np.flatnonzero(count >= np.maximum(need - aside, 1))
+        seen = count[able]
+        for left, k in enumerate(long[::-1], 1 - len(long)):
+            if not len(able):
+                break
+            row = self.member[start[k] : end[k]]
+            seen = seen + (row[np.minimum(np.searchsorted(row, able), len(row) - 1)] == able)
+            on = seen - left >= need[able]  # what is left could still fill the gap
+            able, seen = able[on], seen[on]
+        total[able] = seen
+        return np.where(total >= need, total, 0)
+
+
 def occurrences(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Overlap of each set that reaches the needed one with the query, else 0.
+    return Lists(sets, sizes).search(np.sort(query), n)
 
-    The query's shingles have inverted lists over the sets. The longest, of a number that grows with the needed overlap
-    T, are set aside: the others are merged, and only sets that occur T - (lists set aside) times are looked up in the
-    long lists by binary search.
-    """
-    sorted_query = np.sort(query)
-    size = np.array([len(s) for s in sets])
-    h, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    at = np.minimum(np.searchsorted(sorted_query, h), len(sorted_query) - 1)
-    hit = sorted_query[at] == h
-    lists, members = at[hit], place[hit]
-    order = np.argsort(lists, kind="stable")  # each list is sorted by member
-    lists, members = lists[order], members[order]
-    length = np.bincount(lists, minlength=len(sorted_query))
-    end = np.cumsum(length)
-    need = needed(n, sizes)
-    least = int(need.min())
-    longest = max(2, int(length.max(initial=0)))
-    aside = min(int(least / (PROBE * np.log2(longest) + 1)), least - 1)
-    long = np.argsort(-length, kind="stable")[:aside]
-    short = np.ones(len(length), bool)
-    short[long] = False
-    merged = np.sort(members[short[lists]], kind="stable")  # runs merge; equal heads are one member's occurrences
-    count = np.bincount(merged, minlength=len(sets))
-    able = np.flatnonzero(count >= np.maximum(need - aside, 1)) if aside < least else np.arange(len(sets))
-    total = np.zeros(len(sets), np.int64)
-    total[able] = count[able]
-    for k in long:
-        row = members[end[k] - length[k] : end[k]]
-        if len(row) and len(able):
-            found = np.searchsorted(row, able)
-            total[able] += row[np.minimum(found, len(row) - 1)] == able
-    return np.where(total >= need, total, 0)
+
+def _apart(t: pa.Table) -> pa.Table:
+    """Links between two blocks of a cell, or within one, as far as they join components."""
+    t = t.combine_chunks()
+    a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+    chunk, ids, n = (t.column(c).to_numpy() for c in ("chunk", "id", "n"))
+    group = {x: x for x in t.column("component").to_pylist()}
+    component = t.column("component").to_pylist()
+    sets = [unpack(x) for x in t.column("shared").to_pylist()]
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    ours, theirs = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+    out = []
+    if len(ours) and len(theirs):
+        lists = Lists([sets[j] for j in theirs], n[theirs])
+        for i in ours:
+            overlap = lists.search(sets[i], int(n[i]))
+            for j in np.flatnonzero(overlap):
+                x, y = root(component[i]), root(component[theirs[j]])
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), int(ids[theirs[j]]), int(overlap[j])))
+    found = list(zip(*out, strict=True)) or [[], [], []]
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "overlap"), found, strict=True)})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +296,32 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(met.mapInArrow(_verify, "a long, b long, overlap long"))
 
 
+def _in_several(lists: DataFrame) -> DataFrame:
+    """Lists whose members lie in several components."""
+    spans = lists.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return cut_lineage(lists.join(spans.where("low <> high").select("h"), "h"))
+
+
+def _between_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between documents of one cell (joined by the lists that they share) that are still apart.
+
+    A cell is dealt to blocks of about ``BLOCK`` documents, and a task searches one block against another, so no cell is
+    gathered; no pair leaves a task unless it joins two components.
+    """
+    least = lists.groupBy("h").agg(F.min("id").alias("b"))
+    cells = components(lists.join(least, "h").select(F.col("id").alias("a"), "b")).withColumnsRenamed(
+        {"node": "id", "component": "cell"}
+    )
+    cells = cut_lineage(cells)
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = lists.select("id", "component").distinct().join(cells, "id").join(blocks, "cell")
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = member.join(sets.select("id", "n", "shared"), "id").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"a": F.least("chunk", "k"), "b": F.greatest("chunk", "k")})
+    tiles = rows.groupBy("cell", "a", "b").applyInArrow(_apart, "a long, b long, overlap long")
+    return cut_lineage(tiles)
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: id, n, rep, component; links: a, b, overlap between representatives of sets).
 
@@ -263,9 +333,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
 
     Shingles go to ranges of their hashes in blobs; there those of a single document end, which leaves few documents
     with enough shared ones. The rarest shared shingles of a set, as many as the overlap that it needs allows to miss,
-    are its short lists: whoever links shares one. In each list one member meets the others, for a few rounds with other
-    members as long as a list spans several components; what is still apart then meets pairwise. The sets that meet
-    are searched with ``occurrences``.
+    are its short lists: whoever links shares one. In each list one member is searched against the others; members of lists that then
+    lie in several components are searched block against block.
     """
     n_parts = RANGES * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -276,27 +345,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     reps = cut_lineage(reps)
     lists = reps.select(F.explode("rare").alias("h"), "id", "n", F.col("id").alias("component"))
     found = None
-    for k in range(ROUNDS + 1):
-        spans = lists.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        spans = spans.where("low <> high").select("h")
-        lists = cut_lineage(lists.join(spans, "h"))  # only those that lie in several components
+    for k in range(ROUNDS):
+        lists = _in_several(lists)
         if lists.isEmpty():
             break
         met = F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "n", "component")
         leads = lists.groupBy("h").agg(F.min(met).alias("l"))
-        if k < ROUNDS:
-            pairs = lists.join(leads, "h").where((F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n")))
-            pairs = pairs.select(F.col("l.id").alias("q"), F.col("id").alias("c")).distinct()
-        else:
-            left = lists.select("h", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_c"))
-            right = lists.select("h", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_c"))
-            apart = (F.col("q") < F.col("c")) & (F.col("q_c") != F.col("c_c")) & _fits(F.col("q_n"), F.col("c_n"))
-            pairs = left.join(right, "h").where(apart).select("q", "c").distinct()
+        fits = (F.col("component") != F.col("l.component")) & _fits(F.col("n"), F.col("l.n"))
+        pairs = lists.join(leads, "h").where(fits).select(F.col("l.id").alias("q"), F.col("id").alias("c")).distinct()
         new = _links(pairs, reps)
         found = new if found is None else found.unionByName(new)
         groups = cut_lineage(components(found.select("a", "b")))
         lists = lists.select("h", "id", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
         lists = lists.select("h", "id", "n", F.coalesce("component", "id").alias("component"))
+    lists = _in_several(lists)
+    if not lists.isEmpty():
+        found = found.unionByName(_between_blocks(lists, reps))
+        groups = cut_lineage(components(found.select("a", "b")))
     member = able.select("id", "n", "k1", "k2").join(
         reps.select("n", "k1", "k2", F.col("id").alias("rep")), ["n", "k1", "k2"]
     ).select("id", "n", "rep")
@@ -314,5 +379,5 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 19):
         yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(*utf8(batch.column("text")))], pa.int64())], ["n"])
