@@ -204,7 +204,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens
-        for batch in batches:
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             column = batch.column(ids)
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             out = [

@@ -40,7 +40,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, so that a task's memory has a bound."""
+    """The same rows in batches of about ``most`` bytes of text, so that a task's memory has a bound.
+
+    What earlier tasks of the same worker left behind is collected first: functions come by value with every task, and
+    what they hold goes only with the next collection.
+    """
+    gc.collect()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -22,7 +22,7 @@ class Words:
     first: np.ndarray  # per document its first word; one more at the end
 
 
-@cache
+@lru_cache(maxsize=2)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(BASE, n), powers(INVERSE, n + 1)
 
