@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import blobs, lists, pieces
+from provspark.llm.common import blobs, bounded_batches, lists, pieces
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; a longer match is merged alone, with a heap.
@@ -180,6 +180,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "tex
     A column that already has the name of the new one is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the rank file, whatever the data
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +201,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     Null or no ids give no bytes; an id outside the vocabulary fails.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, mix, parts, pieces, release, utf8
+from provspark.llm.common import U64, bounded_batches, mix, parts, pieces, release, utf8
 from provspark.llm.components import components
 from provspark.llm.packed import SCHEMA, deltas, entries, planes, starts, undeltas, unplanes
 from provspark.llm.packed import owner as owner_of
@@ -337,6 +337,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     lie in several components are searched block against block.
     """
     n_parts = RANGES * parts(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sets = _shared_sets(rows.where("id is not null"), n_parts)
     release(docs.sparkSession)

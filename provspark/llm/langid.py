@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import pieces, utf8
+from provspark.llm.common import bounded_batches, pieces, utf8
 from provspark.llm.words import letters
 
 #: Bytes of a subword, buckets of each length, width of an embedding.
@@ -77,6 +77,7 @@ def train(known: DataFrame, draw: Column, seed: int = 7, epochs: int = 6, rate:
     A fifth of the sample is kept from training: it gives the temperature of the scores and the least score at which
     predictions are right with a frequency of ``accurate``.
     """
+    bounded_batches(known.sparkSession)
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", draw.alias("draw"))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
@@ -154,6 +155,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names of the new ones are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, at most LANGUAGES
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, blobs, lists, mix, parts, pieces, release, utf8
+from provspark.llm.common import U64, blobs, bounded_batches, lists, mix, parts, pieces, release, utf8
 from provspark.llm.packed import SCHEMA, by_owner, deltas, entries, planes, rows, starts, undeltas, unplanes
 from provspark.llm.words import prefix_sums, span_hash
 from provspark.session import cut_lineage
@@ -269,6 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     n_parts = RANGES * parts(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
     settled = ranked.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
@@ -309,6 +310,7 @@ def without_spans(
     ``whole``: a character that a span covers in part is kept, so that the rest is UTF-8. Columns of ``docs`` with the
     names of the new ones are replaced. Null texts keep no bytes.
     """
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("start", "end", kept)]
     mine = docs.select(*(F.col(f"`{c}`") for c in rest))
     s = spans.select(F.col("id").alias("_span_id"), "start", "end")

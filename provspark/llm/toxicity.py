@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, lists, pieces, utf8
+from provspark.llm.common import U64, bounded_batches, lists, pieces, utf8
 from provspark.llm.words import hash_of, letters, split
 from provspark.session import cut_lineage
 
@@ -177,6 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; ``may_learn`` is a condition on doc_id. Without labels
     there is no learned lexicon and no calibration; without votes every posterior is the prior.
     """
+    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, may_learn).mapInArrow(
         _word_sets, "doc_id long, toxic int, weight double, text string, words array<bigint>"
     )
@@ -270,6 +271,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Whole texts are read; repeated rows score alike. A column of ``docs`` named score is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model.classifier)  # TERMS and the fixed lists
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
