@@ -113,4 +113,4 @@ def test_contamination_keeps_existing_reasons(spark):
     train = spark.createDataFrame([(1, None), (2, "foto"), (3, None)], "id long, reason string")
     hits = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2)], "channel string, b_id long")
     got = {r["id"]: r["reason"] for r in D.mark_contaminated(train, hits, "id").collect()}
-    assert got == {1: "dublette: a", 2: "foto", 3: None}
+    assert got == {1: "dublette: b", 2: "foto", 3: None}
