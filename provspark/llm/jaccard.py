@@ -280,8 +280,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shared_sets(rows: DataFrame, n_parts: int) -> DataFrame:
     posted = rows.mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
-    shared = posted.repartition(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
-    sets = shared.repartition(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
+    shared = posted.repartitionById(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
+    sets = shared.repartitionById(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
     return cut_lineage(sets)
 
 

@@ -272,8 +272,8 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
-    settled = ranked.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
-    found = settled.repartition(n_parts // RANGES, "part").mapInArrow(
+    settled = ranked.repartitionById(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
+    found = settled.repartitionById(n_parts // RANGES, "part").mapInArrow(
         _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     found = cut_lineage(found)
@@ -281,11 +281,11 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     release(docs.sparkSession)
     still = found.where(F.size("at") > 0).select("id", "at", "more")
     windows = source.join(still, "id").mapInArrow(lambda b: _rank_windows(b, n_parts), SCHEMA)
-    late = windows.repartition(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
+    late = windows.repartitionById(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
     known = found.where(F.size("start") > 0).select("id", "start", "end").mapInArrow(
         lambda b: _as_blobs(b, n_parts), SCHEMA
     )
-    spans = late.unionByName(known).repartition(n_parts // RANGES, "part").mapInArrow(
+    spans = late.unionByName(known).repartitionById(n_parts // RANGES, "part").mapInArrow(
         _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     return cut_lineage(spans.select("id", "start", "end"))

@@ -87,7 +87,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str =
     both = (
         dealt.mapInArrow(deal, schema(dealt)).withColumn("is_url", F.lit(True))
         .unionByName(marks.mapInArrow(spread, schema(marks)).withColumn("is_url", F.lit(False)))
-        .repartition(n, "bucket")
+        .repartitionById(n, "bucket")
         .sortWithinPartitions("bucket", "key", "is_url")
     )
     out = rows.select("id", "host", "path").withColumns(
