@@ -60,7 +60,10 @@ def group_key(item: Column) -> Column:
 
 
 def augmentation_plan(item_id: Column, seed: int) -> dict[str, Column]:
-    """Edit parameters per item that do not depend on its class: ranges and shares of the published recipe."""
+    """Edit parameters per item that do not depend on its class.
+
+    Fixed values: the ranges and shares of the published recipe.
+    """
 
     def u(k: str) -> Column:
         return uniform(seed, item_id, k)
