@@ -1,7 +1,7 @@
 """Quotas, caps, targets, samples and holdouts that stay whole under hot keys.
 
-"The first n of a group" never sorts a whole group in one task: small limits use a rank filter, which Spark cuts to n
-rows per group before the shuffle; large limits use the range-split scan. Where rejected rows must stay (they carry a
+"The first n of a group" never sorts a whole group in one task: it is cut in two stages, and in each Spark cuts to n rows
+before the shuffle. Where rejected rows must stay (they carry a
 reason), only the n-th position of each group is computed and compared with every row.
 """
 
@@ -15,20 +15,24 @@ from pyspark.sql import functions as F
 from provspark.functions.hashing import hash60
 from provspark.operators.scan import row_index, scan
 
-RANK_LIMIT = 1000
+#: Parts that a group is dealt to before its first rows are put in order.
+PARTS = 32
 
 
 def first_n(
     df: DataFrame, keys: Sequence[str], order: str, n: int, tie: str | None = None, rank: str | None = None
 ) -> DataFrame:
-    """The first ``n`` rows of each group along a numeric ``order``; ``rank`` names a column for their 1-based place."""
+    """The first ``n`` rows of each group along a numeric ``order``; ``rank`` names a column for their 1-based place.
+
+    A group is cut to its first n rows per map task and part, then per part, then as a whole: the task that puts a hot
+    group in order gets at most ``PARTS`` times n rows, however many there are.
+    """
     place = rank or "_rn"
-    if n <= RANK_LIMIT:
-        by = [F.col(order)] + ([F.col(tie)] if tie else [])
-        ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-    else:
-        ranked = row_index(df, order, place, keys, ties=[tie] if tie else []).withColumn(place, F.col(place) + 1)
-    kept = ranked.where(F.col(place) <= n)
+    by = [F.col(order)] + ([F.col(tie)] if tie else [])
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(order, *([tie] if tie else [])), F.lit(PARTS)))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by))
+    fewer = dealt.withColumn(place, within).where(F.col(place) <= n).drop(place, "_part")
+    kept = fewer.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(place) <= n)
     return kept if rank else kept.drop(place)
 
 

@@ -40,10 +40,10 @@ def test_quota_against_a_loop(spark, arrivals, stored_only, with_prior):
     assert {r["id"]: r["over_quota"] for r in out.collect()} == want
 
 
-def test_large_limits_use_the_scan(spark, monkeypatch):
-    monkeypatch.setattr(S, "RANK_LIMIT", 5)
+def test_first_rows_of_a_hot_group(spark):
     df = spark.range(500).withColumn("k", F.when(F.col("id") % 3 == 0, "hot").otherwise("x"))
-    assert S.first_n(df, ["k"], "id", 50).groupBy("k").count().collect()[0]["count"] == 50
+    first = S.first_n(df, ["k"], "id", 50, rank="place").where("k = 'hot'").orderBy("place").collect()
+    assert [(r["id"], r["place"]) for r in first] == [(3 * i, i + 1) for i in range(50)]
     out = S.quota(df, ["k"], "id", 50)
     assert out.where("not over_quota").groupBy("k").count().select("count").distinct().collect()[0][0] == 50
 
