@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm.bpe import Vocabulary, decode, encode
+from provspark.llm.bpe import Vocabulary, round_trip
 from provspark.llm.common import table
 from provspark.llm.jaccard import similar
 from provspark.llm.mixing import mix
@@ -66,7 +66,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    rows = decode(encode(docs.select(*COLUMNS), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    rows = round_trip(docs.select(*COLUMNS), vocabulary, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

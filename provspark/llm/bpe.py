@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import blobs, bounded_batches, lists, pieces
+from provspark.llm.common import blobs, bounded_batches, lists, pieces, tidied
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; a longer match is merged alone, with a heap.
@@ -98,6 +98,11 @@ class Encoder:
         kept = self.kept
         return [b"".join([kept[w] for w in row]) for row in words]
 
+    def column(self, texts: pa.Array) -> pa.ListArray:
+        rows = self.documents(texts.to_pylist())
+        count = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+        return lists(np.frombuffer(b"".join(rows), np.int32), count, pa.int32())
+
     def learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -186,13 +191,37 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
         for batch in pieces(batches, text, 1 << 20):
-            rows = encoder.documents(batch.column(text).to_pylist())
-            count = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
-            flat = np.frombuffer(b"".join(rows), np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists(flat, count, pa.int32())], [*rest, ids])
+            column = encoder.column(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, ids])
 
     schema = df.select(*(F.col(f"`{c}`") for c in rest), F.lit(None).cast("array<int>").alias(ids)).schema
-    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(tidied(run), schema)
+
+
+def _decoded(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return blobs([b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+
+def round_trip(
+    df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode``, then ``decode``, in one pass over the rows: one Python worker a task instead of two."""
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    rest = [c for c in df.columns if c not in (ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = Encoder(shared.value, pattern), shared.value.tokens
+        for batch in pieces(batches, text, 1 << 20):
+            column = encoder.column(batch.column(text))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in rest), column, _decoded(column, tokens)], [*rest, ids, decoded]
+            )
+
+    chosen = df.select(*(F.col(f"`{c}`") for c in rest))
+    schema = chosen.withColumns({ids: F.lit(None).cast("array<int>"), decoded: F.lit(None).cast("binary")}).schema
+    return chosen.mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -207,12 +236,8 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens
         for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
-            column = batch.column(ids)
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            out = [
-                b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), blobs(out)], [*rest, decoded])
+            out = _decoded(batch.column(ids), tokens)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), out], [*rest, decoded])
 
     schema = df.select(*(F.col(f"`{c}`") for c in rest), F.lit(None).cast("binary").alias(decoded)).schema
-    return df.mapInArrow(run, schema) if rest == df.columns else df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema) if rest == df.columns else df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(tidied(run), schema)

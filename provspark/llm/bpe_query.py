@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm.bpe import Vocabulary, decode, encode
+from provspark.llm.bpe import Vocabulary, round_trip
 from provspark.llm.common import table
 from provspark.llm.registry import query
 
@@ -19,7 +19,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     vocabulary = Vocabulary.read(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).drop("text"), vocabulary)
+    coded = round_trip(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+import os
+import resource
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Resident bytes from which a worker gives memory back after a task.
+GROWN = 200 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +55,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, so that a task's memory has a bound.
-
-    What earlier tasks of the same worker left behind is collected first: functions come by value with every task, and
-    what they hold goes only with the next collection.
-    """
-    gc.collect()
+    """The same rows in batches of about ``most`` bytes of text, so that a task's memory has a bound."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,6 +95,33 @@ def blobs(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+def _resident() -> int:
+    """Resident bytes of this process; where Linux doesn't tell, the most there were so far."""
+    if os.path.exists("/proc/self/statm"):
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` over batches; a worker that has grown gives its memory back at the end of the task.
+
+    Workers are kept for later tasks, also while other stages need the memory; functions come by value with every task,
+    and what they hold goes only when garbage is collected.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if _resident() > GROWN:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files behind a checkpoint: Spark deletes those of plans that the driver no longer refers to, but
     only when its garbage is collected, which may be long after the disk is full."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, bounded_batches, mix, parts, pieces, release, utf8
+from provspark.llm.common import U64, bounded_batches, mix, parts, pieces, release, tidied, utf8
 from provspark.llm.components import components
 from provspark.llm.packed import SCHEMA, deltas, entries, planes, starts, undeltas, unplanes
 from provspark.llm.packed import owner as owner_of
@@ -279,9 +279,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_sets(rows: DataFrame, n_parts: int) -> DataFrame:
-    posted = rows.mapInArrow(lambda b: _post(b, n_parts), SCHEMA)
-    shared = posted.repartitionById(n_parts, "part").mapInArrow(lambda b: _share(b, n_parts), SCHEMA)
-    sets = shared.repartitionById(n_parts, "part").mapInArrow(_gather, "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
+    posted = rows.mapInArrow(tidied(lambda b: _post(b, n_parts)), SCHEMA)
+    shared = posted.repartitionById(n_parts, "part").mapInArrow(tidied(lambda b: _share(b, n_parts)), SCHEMA)
+    sets = shared.repartitionById(n_parts, "part").mapInArrow(tidied(_gather), "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
     return cut_lineage(sets)
 
 
@@ -293,7 +293,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     c = sets.select(F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("shared").alias("c_set"))
     q = sets.select(F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("shared").alias("q_set"))
     met = pairs.join(c, "c").join(q, "q").select("q", "q_n", "q_set", "c", "c_n", "c_set")
-    return cut_lineage(met.mapInArrow(_verify, "a long, b long, overlap long"))
+    return cut_lineage(met.mapInArrow(tidied(_verify), "a long, b long, overlap long"))
 
 
 def _in_several(lists: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
         placed = member.join(named, "rep", "left").select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
     alone = sets.where("shared is null").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
     known = placed.unionByName(alone)
-    nameless = rows.where("id is null").mapInArrow(_sizes, "n long")
+    nameless = rows.where("id is null").mapInArrow(tidied(_sizes), "n long")
     none = F.lit(None).cast("long")
     return known.unionByName(nameless.select(none.alias("id"), "n", none.alias("rep"), none.alias("component"))), found
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import bounded_batches, pieces, utf8
+from provspark.llm.common import bounded_batches, pieces, tidied, utf8
 from provspark.llm.words import letters
 
 #: Bytes of a subword, buckets of each length, width of an embedding.
@@ -86,7 +86,7 @@ def train(known: DataFrame, draw: Column, seed: int = 7, epochs: int = 6, rate:
     chosen = F.lit(False)
     for r in sizes:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("draw") * r["count"] < PER_LANGUAGE))
-    sample = known.where(chosen).select("text", "lang").mapInArrow(_counts, "lang string, buckets array<int>, counts array<int>")
+    sample = known.where(chosen).select("text", "lang").mapInArrow(tidied(_counts), "lang string, buckets array<int>, counts array<int>")
     rows = sorted(((r["lang"], r["buckets"], r["counts"]) for r in sample.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[1]))
     label = np.array([languages.index(r[0]) for r in rows])
     docs = [(np.array(r[1], np.int64), np.array(r[2], np.float32)) for r in rows]
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     chosen = docs.select(*(F.col(f"`{c}`") for c in rest))
     schema = chosen.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).schema
     readable = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return chosen.mapInArrow(run, schema).withColumns({
+    return chosen.mapInArrow(tidied(run), schema).withColumns({
         "lang_pred": F.when(readable, F.col("lang_pred")).otherwise(UNKNOWN),
         "score": F.when(readable, F.col("score")).otherwise(0.0),
         "rejected": ~readable | (F.col("score") < model.least),

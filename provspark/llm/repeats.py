@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, blobs, bounded_batches, lists, mix, parts, pieces, release, utf8
+from provspark.llm.common import U64, blobs, bounded_batches, lists, mix, parts, pieces, release, tidied, utf8
 from provspark.llm.packed import SCHEMA, by_owner, deltas, entries, planes, rows, starts, undeltas, unplanes
 from provspark.llm.words import prefix_sums, span_hash
 from provspark.session import cut_lineage
@@ -271,22 +271,19 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     n_parts = RANGES * parts(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(lambda b: _rank_runs(b, n_parts), SCHEMA)
-    settled = ranked.repartitionById(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_runs(b, n_parts), SCHEMA)
-    found = settled.repartitionById(n_parts // RANGES, "part").mapInArrow(
-        _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
+    ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(tidied(lambda b: _rank_runs(b, n_parts)), SCHEMA)
+    settled = ranked.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(lambda b: _settle_runs(b, n_parts)), SCHEMA)
+    found = settled.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(_by_document), "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     found = cut_lineage(found)
     del ranked, settled
     release(docs.sparkSession)
     still = found.where(F.size("at") > 0).select("id", "at", "more")
-    windows = source.join(still, "id").mapInArrow(lambda b: _rank_windows(b, n_parts), SCHEMA)
-    late = windows.repartitionById(n_parts // RANGES, "part").mapInArrow(lambda b: _settle_windows(b, n_parts), SCHEMA)
-    known = found.where(F.size("start") > 0).select("id", "start", "end").mapInArrow(
-        lambda b: _as_blobs(b, n_parts), SCHEMA
+    windows = source.join(still, "id").mapInArrow(tidied(lambda b: _rank_windows(b, n_parts)), SCHEMA)
+    late = windows.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(lambda b: _settle_windows(b, n_parts)), SCHEMA)
+    known = found.where(F.size("start") > 0).select("id", "start", "end").mapInArrow(tidied(lambda b: _as_blobs(b, n_parts)), SCHEMA
     )
-    spans = late.unionByName(known).repartitionById(n_parts // RANGES, "part").mapInArrow(
-        _by_document, "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
+    spans = late.unionByName(known).repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(_by_document), "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
     )
     return cut_lineage(spans.select("id", "start", "end"))
 
@@ -326,7 +323,7 @@ def without_spans(
                 out.append(_outside(own, a, b, whole) if a else own.tobytes())
             yield batch.append_column(kept, blobs(out))
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(tidied(run), schema)
 
 
 def _outside(own: np.ndarray, start: list[int], end: list[int], whole: bool) -> bytes:

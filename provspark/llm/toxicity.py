@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, bounded_batches, lists, pieces, utf8
+from provspark.llm.common import U64, bounded_batches, lists, pieces, tidied, utf8
 from provspark.llm.words import hash_of, letters, split
 from provspark.session import cut_lineage
 
@@ -178,8 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     there is no learned lexicon and no calibration; without votes every posterior is the prior.
     """
     bounded_batches(docs.sparkSession)
-    rows = sample(docs, labels, may_learn).mapInArrow(
-        _word_sets, "doc_id long, toxic int, weight double, text string, words array<bigint>"
+    rows = sample(docs, labels, may_learn).mapInArrow(tidied(_word_sets), "doc_id long, toxic int, weight double, text string, words array<bigint>"
     )
     rows = cut_lineage(rows.withColumn("toxic", F.col("toxic").cast("int")))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -203,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], ["votes", "n"])
 
     patterns = (
-        docs.where(may_learn).select("text").mapInArrow(vote, "votes long, n long")
+        docs.where(may_learn).select("text").mapInArrow(tidied(vote), "votes long, n long")
         .groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** VOTERS
     )
     bits = np.array([r["votes"] for r in patterns], np.int64)
@@ -221,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
                 ["toxic", "weight", "votes", "terms"],
             )
 
-    rows = rows.mapInArrow(examples, "toxic int, weight double, votes long, terms array<int>").collect()  # bounded
+    rows = rows.mapInArrow(tidied(examples), "toxic int, weight double, votes long, terms array<int>").collect()  # bounded
     return Model(lexicon, label_model, _fit(rows, lexicon, label_model, chosen))
 
 
@@ -282,4 +281,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), pa.array(value)], [*rest, "score"])
 
     chosen = docs.select(*(F.col(f"`{c}`") for c in rest))
-    return chosen.mapInArrow(run, chosen.withColumn("score", F.lit(0.0).cast("double")).schema)
+    return chosen.mapInArrow(tidied(run), chosen.withColumn("score", F.lit(0.0).cast("double")).schema)
