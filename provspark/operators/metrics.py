@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.histogram import mean_of, rows_of, times
-from provspark.operators.ranks import average_ranks, value_counts
+from provspark.operators.ranks import average_ranks
 from provspark.operators.scan import scan
 from provspark.operators.thresholds import roc_bracket
 from provspark.session import settle

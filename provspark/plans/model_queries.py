@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from provspark.functions import hashing as H
 from provspark.functions import numeric as N
 from provspark.functions import text as X
-from provspark.operators import admission as A
 from provspark.operators import features as E
 from provspark.operators import heads as K
-from provspark.operators import similarity as D
 from provspark.operators.breakdowns import feature_moments
 from provspark.plans.curation_queries import CAND, CASE_PROMPTED, POLICY, candidates
 from provspark.plans.fixtures import table, view
-from provspark.plans.oracle import split_sql
 from provspark.plans.registry import query
 from provspark.session import scratch
 from provspark.sources import exports, manifests, tables
