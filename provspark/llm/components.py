@@ -22,11 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # larger neighbours (b > a) to the least of the neighbourhood
-        large = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = turned.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # smaller neighbours to the least of them, and the node itself
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        node = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        small = large.join(low, "a").select(node.alias("a"), F.col("m").alias("b"))
         new = cut_lineage(small.where("a <> b").distinct())
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -281,8 +281,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_sets(rows: DataFrame, n_parts: int) -> DataFrame:
     posted = rows.mapInArrow(tidied(lambda b: _post(b, n_parts)), SCHEMA)
     shared = posted.repartitionById(n_parts, "part").mapInArrow(tidied(lambda b: _share(b, n_parts)), SCHEMA)
-    sets = shared.repartitionById(n_parts, "part").mapInArrow(tidied(_gather), "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>")
-    return cut_lineage(sets)
+    schema = "id long, n long, k1 long, k2 long, shared binary, rare array<bigint>"
+    return cut_lineage(shared.repartitionById(n_parts, "part").mapInArrow(tidied(_gather), schema))
 
 
 def _fits(n: Column, m: Column) -> Column:

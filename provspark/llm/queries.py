@@ -5,7 +5,18 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles)"""
-    from provspark.llm import bpe_query, jaccard_query, langid_query, mixing_query, near_vectors_query, repeats_query, rollup_query, topk_query, toxicity_query, url_query  # noqa: F401
+    from provspark.llm import (  # noqa: F401
+        bpe_query,
+        jaccard_query,
+        langid_query,
+        mixing_query,
+        near_vectors_query,
+        repeats_query,
+        rollup_query,
+        topk_query,
+        toxicity_query,
+        url_query,
+    )
     from provspark.llm.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

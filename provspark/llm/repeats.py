@@ -23,6 +23,7 @@ CHUNK, HELD = 1 << 20, 150_000
 RANGES = 2
 #: Kinds of packed rows.
 RUN, SPAN, OPEN = 0, 1, 2
+BY_DOCUMENT = "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
 
 
 def runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -54,7 +55,7 @@ def runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     good = stretch[edge] >= 0
     first, last = edge[good], last[good]
     a = anchor[first]
-    inner = span_hash(sums, a, a + FIRST)
+    inner = mix(span_hash(sums, a, a + FIRST))  # mixed anew: hashes of anchors are small ones
     whole = mix(span_hash(sums, first, last + LENGTH) ^ ((a - first).astype(U64) * U64(0xA24BAED4963EE407)))
     return stretch[first], first, last, inner, whole
 
@@ -271,20 +272,21 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     n_parts = RANGES * parts(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartitionById(n_parts // RANGES, "part")
+
     ranked = source.where(F.octet_length("text") >= LENGTH).mapInArrow(tidied(lambda b: _rank_runs(b, n_parts)), SCHEMA)
-    settled = ranked.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(lambda b: _settle_runs(b, n_parts)), SCHEMA)
-    found = settled.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(_by_document), "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
-    )
-    found = cut_lineage(found)
+    settled = dealt(ranked).mapInArrow(tidied(lambda b: _settle_runs(b, n_parts)), SCHEMA)
+    found = cut_lineage(dealt(settled).mapInArrow(tidied(_by_document), BY_DOCUMENT))
     del ranked, settled
     release(docs.sparkSession)
     still = found.where(F.size("at") > 0).select("id", "at", "more")
     windows = source.join(still, "id").mapInArrow(tidied(lambda b: _rank_windows(b, n_parts)), SCHEMA)
-    late = windows.repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(lambda b: _settle_windows(b, n_parts)), SCHEMA)
-    known = found.where(F.size("start") > 0).select("id", "start", "end").mapInArrow(tidied(lambda b: _as_blobs(b, n_parts)), SCHEMA
-    )
-    spans = late.unionByName(known).repartitionById(n_parts // RANGES, "part").mapInArrow(tidied(_by_document), "id long, start array<bigint>, end array<bigint>, at array<bigint>, more array<bigint>"
-    )
+    late = dealt(windows).mapInArrow(tidied(lambda b: _settle_windows(b, n_parts)), SCHEMA)
+    known = found.where(F.size("start") > 0).select("id", "start", "end")
+    known = known.mapInArrow(tidied(lambda b: _as_blobs(b, n_parts)), SCHEMA)
+    spans = dealt(late.unionByName(known)).mapInArrow(tidied(_by_document), BY_DOCUMENT)
     return cut_lineage(spans.select("id", "start", "end"))
 
 
