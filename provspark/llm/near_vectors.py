@@ -16,15 +16,20 @@ from provspark.session import cut_lineage
 
 #: Rows of a window, bits of a code that is sorted (a bucket's prefix comes first).
 WINDOW, BITS = 128, 40
-#: A pair at the least cosine of interest is missed with about this chance, where it agrees in a bit with chance AGREE.
-MISS, AGREE = 0.005, 0.9
+#: A pair at the least cosine of interest is missed with at most about this chance.
+MISS = 0.005
 
 
-def passes_for(n: int) -> tuple[int, int]:
+def passes_for(n: int, at_least: float = 0.9) -> tuple[int, int]:
     """(passes, bits of a bucket): a bucket of unlike vectors has about a window's rows, and passes make up for the
-    pairs that such a prefix parts. Both grow with the number of rows."""
+    pairs that such a prefix parts. Both grow with the number of rows, passes also as ``at_least`` falls: a pair of that
+    cosine agrees in a bit with the chance 1 - acos(at_least) / pi."""
     bits = max(1, min(BITS, math.ceil(math.log2(max(2, n / WINDOW)))))
-    return max(4, math.ceil(math.log(MISS) / math.log(1 - AGREE**bits))), bits
+    agree = 1 - math.acos(max(-1.0, min(1.0, at_least))) / math.pi
+    if agree <= 0:
+        raise ValueError("no number of passes finds opposite vectors")
+    parted = -math.expm1(bits * math.log(agree))
+    return max(4, math.ceil(math.log(MISS) / math.log(parted)) if parted > 0 else 0), bits
 
 
 def usable(vector: Column) -> Column:
@@ -79,7 +84,7 @@ def links(distinct: DataFrame, at_least: float, seed: int = 11) -> tuple[DataFra
     spanning forest of each tile's links, so no task emits the pairs of a group.
     """
     n = distinct.count()
-    n_passes, bits = passes_for(n)
+    n_passes, bits = passes_for(n, at_least)
     shift = BITS - bits
     codes = distinct.mapInArrow(lambda b: _codes(b, n_passes, bits, seed), "id long, codes array<bigint>")
     long = cut_lineage(codes.select("id", F.posexplode("codes").alias("pass", "code")))

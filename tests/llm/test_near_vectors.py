@@ -70,3 +70,23 @@ def test_copies_odd_vectors_and_empty(spark):
 def test_query_and_number_of_passes(spark, sf):
     assert op9(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert passes_for(10**5)[0] < passes_for(10**7)[0]
+
+
+def test_pairs_just_above_the_limit_are_found_in_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "WINDOW", 16)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20000, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    a, z = x[:10000], x[10000:]
+    z = z - (z * a).sum(axis=1)[:, None] * a
+    z /= np.sqrt((z * z).sum(axis=1))[:, None]
+    cosine = rng.uniform(0.9001, 0.92, 10000)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * z])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicates(df).collect()}
+    assert sum(got[i] == got[i + 10000] for i in range(10000)) >= 0.996 * 10000
+
+
+def test_passes_follow_the_least_cosine():
+    assert [passes_for(n, 0.9)[0] for n in (50_000, 10**6, 10**7, 3 * 10**7)] == [19, 38, 72, 84]
+    assert passes_for(10**6, 0.95)[0] < passes_for(10**6, 0.9)[0] and passes_for(10**6, 1.0)[0] == 4
