@@ -22,8 +22,9 @@ from provspark.llm.toxicity_query import LEAST, may_learn
 from provspark.session import scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Target shares of the tokens of good and poor prose, for 1.2 times the tokens there are. Every document stays at least
-#: once; those of a domain that is short of its target come several times, as in several epochs.
+#: Target shares of the tokens of good and poor prose, for 1.2 times the tokens there are, or as many more as it takes for
+#: poor prose to be no more than its share: every document stays at least once; those of a domain that is short of its
+#: target come several times, as in several epochs, up to the highest rate or what that number of tokens asks for.
 WEIGHTS, SCALE, LOWEST, HIGHEST = {"good": 0.95, "poor": 0.05}, 1.2, 1.0, 4.0
 
 

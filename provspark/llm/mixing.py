@@ -72,6 +72,20 @@ def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str]) -> DataFr
     return raised.select("doc_id", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
+def least_budget(rows: DataFrame, weights: list[float], lowest: float) -> tuple[float, float]:
+    """(budget, highest rate) from which rates that are linear in ``p`` meet all targets with none below ``lowest``.
+
+    With hard memberships these are the rates that a domain's documents share, and the budget is the least at which every
+    target is at least ``lowest`` times the tokens there are. (0, 0) where no such rates exist.
+    """
+    d, t = len(weights), F.col("tokens").cast("double")
+    gram = rows.agg(*(F.sum(t * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(d))).first()
+    unit = np.linalg.pinv(np.array([x or 0.0 for x in gram]).reshape(d, d)) @ np.array(weights, float)  # rates of a budget of 1
+    if unit.min() <= 0:
+        return 0.0, 0.0
+    return lowest / float(unit.min()), lowest * float(unit.max() / unit.min())
+
+
 def fit_rates(
     rows: DataFrame, weights: list[float], budget: float, lowest: float = 0.0, highest: float = 4.0,
     start: float = 1.0, rounds: int = 60, tolerance: float = 1e-4,
@@ -128,6 +142,8 @@ def mix(
 ) -> DataFrame:
     """(doc_id, tokens, p, rate, copies) of every document, for targets of ``scale`` times all tokens.
 
+    Where ``lowest`` leaves a domain more tokens than its target, the targets are raised to ``least_budget``, and
+    ``highest`` as far as that asks for.
     ``p`` follows the order of ``weights``. Texts that are null or empty have no tokens, so their rates touch no total;
     repeated rows and null ids get rates of their own. Labels without a domain of ``weights`` are not used. An empty
     table gives an empty one.
@@ -136,5 +152,9 @@ def mix(
     share = [weights[k] / sum(weights.values()) for k in domains]
     rows = cut_lineage(posteriors(cut_lineage(features(docs)), labels, domains))
     budget = float(rows.agg(F.sum("tokens")).first()[0] or 0) * scale
+    if lowest > 0 and budget > 0:
+        least, most = least_budget(rows, share, lowest)
+        if budget < least:
+            budget, highest = least, max(highest, most)
     rated = fit_rates(rows, share, budget, lowest, highest)
     return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))

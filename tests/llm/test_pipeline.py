@@ -1,9 +1,14 @@
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provspark.llm.components import components
+from provspark.llm.mixing import mix
+from provspark.llm.mixing_query import domains
 from provspark.llm.repeats_query import digests
 from tests.llm.test_jaccard import plain as plain_groups
 from tests.llm.test_repeats import plain as plain_repeats
@@ -66,6 +71,20 @@ def test_mixing_repeats_and_drops_none(stages):
     assert len(before) < len(after) <= 4 * len(before)
 
 
+def test_mixing_reaches_the_target_shares(spark):
+    c, sf = corpus_pipeline, "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    rated = mix(docs, domains(spark.read.parquet(f"{sf}/labels.parquet")), c.WEIGHTS, c.SCALE, c.LOWEST, c.HIGHEST).collect()
+    tokens, p = np.array([r["tokens"] for r in rated]), np.array([r["p"] for r in rated])
+    want = np.array(list(c.WEIGHTS.values())) / sum(c.WEIGHTS.values())
+    assert (tokens @ p / tokens.sum())[1] > c.SCALE * want[1]  # poor prose has more tokens than 1.2 times all leave it
+    often = Counter(r["doc_id"] for r in c.mixed(spark, docs, sf).collect())
+    for rates, slack in (([r["rate"] for r in rated], 0.002), ([often[r["doc_id"]] for r in rated], 0.01)):
+        totals = (tokens * rates) @ p
+        assert abs(totals / totals.sum() - want).max() < slack
+    assert len(often) == len(rated) and totals.sum() >= c.SCALE * tokens.sum()
+
+
 def test_ids_decode_to_the_texts(stages):
     import base64
 
