@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provspark.llm.mixing import BINS, FEATURES, copies, features, fit_rates, mix, posteriors
+from provspark.llm.mixing import BINS, FEATURES, copies, features, fit, fit_rates, mix, posteriors
 from provspark.llm.mixing_query import domains, op2
 
 
@@ -32,6 +32,19 @@ def test_rates_equal_a_plain_descent(spark, lowest, highest, weights):
         assert abs(totals / budget - weights).max() < 2e-3
 
 
+def test_a_small_domain_beside_a_hot_one_meets_its_target(spark):
+    kind = np.repeat([0, 1, 2], [900, 90, 10])
+    rows = [(i, 50 + i % 100, [float(k == j) for j in range(3)]) for i, k in enumerate(kind)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    budget = float(sum(t for _, t, _ in rows))
+    rated, gap = fit(df, [0.9, 0.07, 0.03], budget)
+    totals = np.zeros(3)
+    for r in rated.collect():
+        totals += r["tokens"] * r["rate"] * np.array(r["p"])
+    assert abs(totals / budget - [0.9, 0.07, 0.03]).max() < 2e-4
+    assert np.allclose(totals / budget - [0.9, 0.07, 0.03], gap, atol=1e-6)
+
+
 def test_posteriors_equal_plain_counts(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = features(docs)
