@@ -7,8 +7,11 @@ def load():
     """(queries, oracles)"""
     from provspark.llm import (  # noqa: F401
         bpe_query,
+        clusters_query,
+        decontaminate_query,
         jaccard_query,
         langid_query,
+        merkle_query,
         mixing_query,
         near_vectors_query,
         repeats_query,

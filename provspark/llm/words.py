@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -22,29 +21,19 @@ class Words:
     first: np.ndarray  # per document its first word; one more at the end
 
 
-@lru_cache(maxsize=2)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(BASE, n), powers(INVERSE, n + 1)
-
-
-def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse for at least n bytes."""
-    return _tables(1 << max(16, (n - 1).bit_length()))
-
-
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
     """Sums of byte * BASE ** place over the first 0 .. n bytes; (P[e] - P[s]) / BASE ** s depends on raw[s:e] alone."""
     out = np.zeros(len(raw) + 1, U64)
     term = raw.astype(U64)
     term += U64(1)
-    term *= tables(len(raw))[0][: len(raw)]
+    term *= powers(BASE, len(raw))[: len(raw)]
     np.cumsum(term, out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of raw[start:end] per span; equal bytes have equal hashes wherever they stand."""
-    value = (sums[end] - sums[start]) * tables(len(sums))[1][start]
+    value = (sums[end] - sums[start]) * powers(INVERSE, len(sums))[start]
     return mix(value ^ ((end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
@@ -84,3 +73,10 @@ def unspaced() -> np.ndarray:
     normal[0] = 0xFF  # never a byte of UTF-8
     normal[[0x20, *range(0x09, 0x0E)]] = 0
     return normal
+
+
+def alphanumeric() -> np.ndarray:
+    """ASCII letters, lower-cased, digits and every byte of other characters make words."""
+    normal = letters()
+    normal[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
+    return normal
