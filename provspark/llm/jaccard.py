@@ -322,6 +322,16 @@ def _between_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(tiles)
 
 
+def _united(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with further links: only the components that these join are searched again."""
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = cut_lineage(components(between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    nodes = groups.select("node", "component").unionByName(over.select(F.col("component").alias("node"), "component"))
+    return nodes.distinct().join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")).distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: id, n, rep, component; links: a, b, overlap between representatives of sets).
 
@@ -356,13 +366,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
         pairs = lists.join(leads, "h").where(fits).select(F.col("l.id").alias("q"), F.col("id").alias("c")).distinct()
         new = _links(pairs, reps)
         found = new if found is None else found.unionByName(new)
+        release(docs.sparkSession)  # of the sets on their way to the search
         groups = cut_lineage(components(found.select("a", "b")))
         lists = lists.select("h", "id", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
         lists = lists.select("h", "id", "n", F.coalesce("component", "id").alias("component"))
     lists = _in_several(lists)
     if not lists.isEmpty():
-        found = found.unionByName(_between_blocks(lists, reps))
-        groups = cut_lineage(components(found.select("a", "b")))
+        joined = _between_blocks(lists, reps)
+        found = found.unionByName(joined)
+        groups = cut_lineage(_united(groups, joined.select("a", "b")))
     member = able.select("id", "n", "k1", "k2").join(
         reps.select("n", "k1", "k2", F.col("id").alias("rep")), ["n", "k1", "k2"]
     ).select("id", "n", "rep")
