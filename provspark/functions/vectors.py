@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +101,52 @@ def _text_thumbs(text: pd.Series) -> pd.Series:
 def text_thumb(text: Column) -> Column:
     """Mean-centred unit vector of the hashed character trigrams of the whole text (1,024 bins); null when flat."""
     return F.pandas_udf(_text_thumbs, "array<double>")(text)
+
+
+BINS = 1024
+
+
+def pack_counts(counts: np.ndarray) -> list[bytes]:
+    """Rows of whole counts as their nonzero bins (two bytes each) and counts (four bytes each)."""
+    row, column = np.nonzero(counts)
+    cuts = np.searchsorted(row, np.arange(len(counts) + 1))
+    bins, many = column.astype("<u2"), counts[row, column].astype("<u4")
+    return [bins[a:b].tobytes() + many[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def unpack_units(packed: Sequence[bytes]) -> np.ndarray:
+    """Mean-centred unit vectors of ``BINS`` components from packed counts."""
+    out = np.zeros((len(packed), BINS))
+    for i, raw in enumerate(packed):
+        n = len(raw) // 6
+        out[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
+    return _centred(out)[0]
+
+
+def _centred(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = counts - counts.mean(axis=1, keepdims=True)
+    length = np.sqrt((out * out).sum(axis=1))
+    return out / np.maximum(length, 1e-300)[:, None], length
+
+
+def packed_trigrams(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, vec, digest): hashed character trigrams of whole texts as packed counts, and a digest of the unit
+    vector that they stand for; null and flat texts drop."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            part = part.filter(pa.compute.is_valid(part.column("text")))
+            texts = part.column("text").to_pylist()
+            c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            size = np.array([len(t) for t in texts], np.int64)
+            doc = np.repeat(np.arange(len(texts)), size)
+            inside = doc[2:] == doc[:-2]  # no trigram reaches over the end of a text
+            grams = (c[:-2] * 961 + c[1:-1] * 31 + c[2:])[inside] % BINS
+            counts = np.bincount(doc[:-2][inside] * BINS + grams, minlength=len(texts) * BINS).reshape(len(texts), BINS)
+            units, length = _centred(counts.astype(np.float64))
+            kept = np.flatnonzero(length > 1e-3)
+            digest = [hashlib.blake2b((units[i] + 0.0).tobytes(), digest_size=16).digest() for i in kept]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(pa.array(kept)), pa.array(pack_counts(counts[kept]), pa.binary()), pa.array(digest, pa.binary())],
+                ["id", "vec", "digest"],
+            )

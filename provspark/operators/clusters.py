@@ -5,38 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.operators.similarity import collapse_copies, earliest_neighbour
+from provspark.operators.similarity import collapse_copies, earlier_neighbours
 from provspark.session import cut_lineage
 
 
+#: Earlier neighbours of a row that are kept at a time.
+NEIGHBOURS = 32
+
+
 def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
     """Greedy clustering in id order: a row joins the earliest leader within the limit, else it leads. (id, leader)
 
-    The leaders are the lexicographically first maximal independent set. Per round every open row without an earlier
-    open neighbour becomes a leader, and rows near a leader close; only the earliest neighbour of a row is ever
-    emitted, never the pairs of a group. Rows without a vector stay alone.
+    One similarity join gives each row its earliest neighbours, ``NEIGHBOURS`` at most, so that the pairs of a large group
+    are never emitted. Rounds over these lists alone decide the rest: followers leave the lists, a row follows the first
+    of its list once that leads, and leads once its list is empty. Should a list run out whose row has further
+    neighbours, such rows are joined again with all rows that are no followers. Rows without a vector stay alone.
     """
     vectors = df.where(F.col("vec").isNotNull())
     distinct, copies = collapse_copies(vectors, "vec")
     distinct = cut_lineage(distinct)
-    open_rows, leaders = distinct, None
-    while not open_rows.isEmpty():
-        blocked = earliest_neighbour(open_rows, open_rows, at_least).select(F.col("a_id").alias("id"))
-        new = cut_lineage(open_rows.join(blocked, "id", "left_anti"))
-        leaders = new if leaders is None else leaders.unionByName(new)
-        near = earliest_neighbour(open_rows, new, at_least).select(F.col("a_id").alias("id"))
-        closed = near.unionByName(new.select("id"))
-        open_rows = cut_lineage(open_rows.join(closed, "id", "left_anti"))
     alone = df.where(F.col("vec").isNull()).select("id", F.col("id").alias("leader"))
-    if leaders is None:
+    rows = distinct.select("id", "vec")
+    open_rows, decided = _listed(rows.select("id"), earlier_neighbours(rows, rows, at_least, NEIGHBOURS)), None
+    while True:
+        first = F.get("near", F.lit(0))
+        leader = F.when(first["leads"], first["b"]).when(F.size("near") == 0, F.when(F.col("whole"), F.col("id")))
+        stepped = cut_lineage(open_rows.withColumn("leader", leader))
+        new = stepped.where("leader is not null").select("id", "leader")
+        rest = stepped.where("leader is null").drop("leader")
+        if new.isEmpty():
+            if rest.isEmpty():
+                break
+            # only lists that ran out are left to begin with
+            out = rest.where((F.size("near") == 0) & ~F.col("whole")).select("id")
+            followers = decided.where("id <> leader").select("id")
+            more = earlier_neighbours(rows.join(out, "id"), rows.join(followers, "id", "left_anti"), at_least, NEIGHBOURS)
+            again = _listed(out, more, decided)
+            open_rows = cut_lineage(rest.join(out, "id", "left_anti").unionByName(again))
+            continue
+        decided = new if decided is None else decided.unionByName(new)
+        told = new.select(F.col("id").alias("b"), (F.col("id") == F.col("leader")).alias("is_leader"))
+        each = rest.select("id", "whole", F.explode_outer("near").alias("n")).select("id", "whole", "n.b", "n.leads")
+        each = each.join(told, "b", "left").withColumn("leads", F.coalesce("leads", F.lit(False)) | F.coalesce("is_leader", F.lit(False)))
+        kept = F.when(F.col("b").isNotNull() & F.coalesce("is_leader", F.lit(True)), F.struct("b", "leads"))
+        open_rows = each.groupBy("id").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(kept)).alias("near"))
+        open_rows = open_rows.select("id", "near", "whole")
+    if decided is None:
         return alone
-    own = leaders.select("id", F.col("id").alias("leader"))
-    followers = distinct.join(own.select("id"), "id", "left_anti")
-    joined = earliest_neighbour(followers, leaders, at_least).select(
-        F.col("a_id").alias("id"), F.col("b_id").alias("leader")
-    )
-    decided = own.unionByName(joined).withColumnRenamed("id", "first")
-    return copies.join(decided, "first").select("id", "leader").unionByName(alone)
+    followed = decided.withColumnRenamed("id", "first")
+    return copies.join(followed, "first").select("id", "leader").unionByName(alone)
+
+
+def _listed(ids: DataFrame, near: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """(id, near: array of (b, leads), whole); rows without neighbours have an empty, whole list."""
+    each = ids.join(near, "id", "left").select("id", F.coalesce("whole", F.lit(True)).alias("whole"), F.explode_outer("near").alias("b"))
+    if decided is None:
+        each = each.withColumn("leads", F.lit(False))
+    else:
+        leaders = decided.where("id = leader").select(F.col("id").alias("b"), F.lit(True).alias("leads"))
+        each = each.join(leaders, "b", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    kept = F.when(F.col("b").isNotNull(), F.struct("b", "leads"))
+    listed = each.groupBy("id").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(kept)).alias("near"))
+    return listed.select("id", "near", "whole")
 
 
 def connected_groups(edges: DataFrame) -> DataFrame:
