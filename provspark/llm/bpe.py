@@ -56,6 +56,10 @@ class Vocabulary:
             todo, rank, at = todo[~placed], rank[~placed], (at[~placed] + 1) & (size - 1)
         return cls(tokens, keys, ranks)
 
+    def plain(self) -> tuple:
+        """Its parts, which workers can read without this module."""
+        return self.tokens, self.keys, self.ranks
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, or NONE; a negative id joins with nothing."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -184,12 +188,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "tex
     Null and empty texts have no ids; no text is cut, repeated rows are encoded alike, and there are no special tokens.
     A column that already has the name of the new one is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the rank file, whatever the data
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.plain())  # as large as the rank file, whatever the data
     bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(Vocabulary(*shared.value), pattern)
         for batch in pieces(batches, text, 1 << 20):
             column = encoder.column(batch.column(text))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, ids])
@@ -208,11 +212,11 @@ def round_trip(
 ) -> DataFrame:
     """``encode``, then ``decode``, in one pass over the rows: one Python worker a task instead of two."""
     bounded_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.plain())
     rest = [c for c in df.columns if c not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder(shared.value, pattern), shared.value.tokens
+        encoder, tokens = Encoder(Vocabulary(*shared.value), pattern), Vocabulary(*shared.value).tokens
         for batch in pieces(batches, text, 1 << 20):
             column = encoder.column(batch.column(text))
             yield pa.RecordBatch.from_arrays(
@@ -229,12 +233,12 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
 
     Null or no ids give no bytes; an id outside the vocabulary fails.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.plain())
     bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.tokens
+        tokens = Vocabulary(*shared.value).tokens
         for batch in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             out = _decoded(batch.column(ids), tokens)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), out], [*rest, decoded])

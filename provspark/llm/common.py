@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provspark.session import cut_lineage, settle
+
 U64 = np.uint64
 #: Resident bytes from which a worker gives memory back after a task.
 GROWN = 200 << 20
@@ -66,6 +68,38 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             yield batch.slice(a, b - a)
 
 
+def with_nodes(rows: DataFrame, digest: Column) -> tuple[DataFrame, int]:
+    """``rows`` (id, not null, ...) with ``node``, a long for each unlike content of an id, and the number of bits that it
+    has more than the id: ``node >> bits`` is the id, and nodes rise with ids.
+
+    ``digest`` tells contents apart. As a rule no id has two; then the node is the id, found by counting ids alone. Else
+    the unlike contents of such ids are numbered in order of their digests, an id with very many of them by ranges.
+    """
+    from provspark.llm.merkle import positions
+
+    twice = cut_lineage(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if twice.isEmpty():
+        return rows.withColumn("node", F.col("id")), 0
+    unlike = rows.join(settle(twice), "id", "left_semi").select(F.col("id").alias("grp"), digest.alias("digest")).distinct()
+    numbered = cut_lineage(positions(unlike, [F.col("digest")]).where("total > 1"))
+    known = numbered.agg(F.max("total").alias("most"), F.max(F.abs("grp")).alias("far")).first()
+    if known["most"] is None:
+        return rows.withColumn("node", F.col("id")), 0
+    bits = (known["most"] - 1).bit_length()
+    far = rows.agg(F.max(F.abs("id"))).first()[0]
+    if far >= 1 << (62 - bits):
+        raise OverflowError(f"{known['most']} unlike contents of one id leave no room for ids up to {far}")
+    own = settle(numbered.select(F.col("grp").alias("id"), F.col("digest").alias("_digest"), F.col("pos").alias("_pos")))
+    met = rows.withColumn("_digest", digest).join(own, ["id", "_digest"], "left")
+    node = F.shiftleft("id", bits) + F.coalesce("_pos", F.lit(0).cast("long"))
+    return met.withColumn("node", node).drop("_digest", "_pos"), bits
+
+
+def text_digest(text: str = "text") -> Column:
+    """sha256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads the bits of a 64-bit value."""
     x = x.astype(U64, copy=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, bounded_batches, mix, parts, pieces, release, tidied, utf8
+from provspark.llm.common import U64, bounded_batches, mix, parts, pieces, release, text_digest, tidied, utf8, with_nodes
 from provspark.llm.components import components
 from provspark.llm.packed import SCHEMA, deltas, entries, planes, starts, undeltas, unplanes
 from provspark.llm.packed import owner as owner_of
@@ -152,11 +152,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((h, count, doc))
         h, doc = h[order], doc[order]
         start, end = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
-        sorted_ids = np.argsort(ids, kind="stable")
-        a, b = sorted_ids[:-1], sorted_ids[1:]
-        differ = (ids[a] == ids[b]) & ((k1[a] != k1[b]) | (k2[a] != k2[b]))  # rows of one id with different sets
-        torn = np.isin(ids, ids[a[differ]])
-        for i in np.flatnonzero((end > start) & ~torn):
+        for i in np.flatnonzero(end > start):
             own = _once(h[start[i] : end[i]])  # a repeated row has its postings twice
             if len(own) >= needed(int(size[i])):
                 out[i] = pack(own)
@@ -332,14 +328,25 @@ def _united(groups: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.distinct().join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")).distinct()
 
 
+def _by_id(nodes: DataFrame, bits: int) -> DataFrame:
+    """Nodes as ids; the components of an id's texts are one."""
+    rows = cut_lineage(nodes.withColumns({c: F.shiftright(c, bits) for c in ("id", "rep")}))
+    least = rows.groupBy("id").agg(F.min("component").alias("b"), F.max("component").alias("_high")).where("b <> _high")
+    groups = components(rows.join(least, "id").select(F.col("component").alias("a"), "b"))
+    joined = groups.select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+    met = rows.join(joined, "component", "left")
+    component = F.shiftright(F.coalesce("_joined", "component"), bits)
+    return met.select("id", "n", "rep", component.alias("component"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: id, n, rep, component; links: a, b, overlap between representatives of sets).
 
     Words are what white space (0x09-0x0D, 0x20) parts, A-Z lower-cased; a document's set are its shingles of five words,
     or all its words as one if it has fewer. Documents without words, and null texts, have empty sets and link with
     nothing. Documents of one set are one representative (the smallest id) and linked. Links hold enough pairs to
-    join each component, every one of them verified. Rows that repeat an id and text are one node; an id that comes with
-    different texts links with nothing. Rows without an id are returned with their size and no component.
+    join each component, every one of them verified. Rows that repeat an id and text are one node; texts that share an id
+    are searched each, and are in one component. Rows without an id are returned with their size and no component.
 
     Shingles go to ranges of their hashes in blobs; there those of a single document end, which leaves few documents
     with enough shared ones. The rarest shared shingles of a set, as many as the overlap that it needs allows to miss,
@@ -349,7 +356,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     n_parts = RANGES * parts(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = _shared_sets(rows.where("id is not null"), n_parts)
+    nodes, bits = with_nodes(rows.where("id is not null"), text_digest())
+    sets = _shared_sets(nodes.select(F.col("node").alias("id"), "text"), n_parts)
     release(docs.sparkSession)
     able = sets.where("shared is not null")
     reps = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("shared").alias("shared"), F.first("rare").alias("rare"))
@@ -386,6 +394,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
         placed = member.join(named, "rep", "left").select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
     alone = sets.where("shared is null").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
     known = placed.unionByName(alone)
+    if bits:
+        known, found = _by_id(known, bits), found.withColumns({c: F.shiftright(c, bits) for c in ("a", "b")})
     nameless = rows.where("id is null").mapInArrow(tidied(_sizes), "n long")
     none = F.lit(None).cast("long")
     return known.unionByName(nameless.select(none.alias("id"), "n", none.alias("rep"), none.alias("component"))), found

@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import bounded_batches, pieces, tidied, utf8
 from provspark.llm.words import letters
+from provspark.session import settle
 
 #: Bytes of a subword, buckets of each length, width of an embedding.
 SIZES, BUCKETS, WIDTH = (3, 4), 1 << 14, 16
-#: Bounds of the training sample: rows of each language (about), and languages (the most frequent).
-PER_LANGUAGE, LANGUAGES = 1500, 256
+#: Bound of the training sample: rows of each language (about), however many languages there are.
+PER_LANGUAGE = 1500
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
     languages: list[str]
-    subword: np.ndarray  # per bucket the logits that it adds: its embedding times the softmax weights
+    subword: np.ndarray  # per bucket its embedding, or where that is no wider, the logits that it adds
+    weight: np.ndarray | None  # softmax weights of the embedding; None where subwords have logits
     bias: np.ndarray
     temperature: float
     least: float  # predictions with a lower score are rejected
@@ -79,26 +81,26 @@ def train(known: DataFrame, draw: Column, seed: int = 7, epochs: int = 6, rate:
     """
     bounded_batches(known.sparkSession)
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", draw.alias("draw"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # none is left out
     if not languages:
-        return Model([UNKNOWN], np.zeros((len(SIZES) * BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("draw") * r["count"] < PER_LANGUAGE))
-    sample = known.where(chosen).select("text", "lang").mapInArrow(tidied(_counts), "lang string, buckets array<int>, counts array<int>")
+        return Model([UNKNOWN], np.zeros((len(SIZES) * BUCKETS, 1), np.float32), None, np.zeros(1, np.float32), 1.0, 1.0)
+    sizes = settle(known.groupBy("lang").agg(F.count("*").alias("n")))
+    chosen = known.join(sizes, "lang").where(F.col("draw") * F.col("n") < PER_LANGUAGE)
+    sample = chosen.select("text", "lang").mapInArrow(tidied(_counts), "lang string, buckets array<int>, counts array<int>")
     rows = sorted(((r["lang"], r["buckets"], r["counts"]) for r in sample.toLocalIterator()), key=lambda r: (r[0], len(r[1]), r[1]))
-    label = np.array([languages.index(r[0]) for r in rows])
+    number = {lang: i for i, lang in enumerate(languages)}
+    label = np.array([number[r[0]] for r in rows])
     docs = [(np.array(r[1], np.int64), np.array(r[2], np.float32)) for r in rows]
     docs = [(b, c / max(c.sum(), 1)) for b, c in docs]
     order = np.random.default_rng(seed).permutation(len(docs))
     kept = order[: len(order) // 5]
     fit = order[len(order) // 5 :]
     embed, weight, bias = _descend([docs[i] for i in fit], label[fit], len(languages), seed, epochs, rate)
-    table = (embed @ weight).astype(np.float32)
-    logits = np.array([(table[b] * c[:, None]).sum(axis=0) + bias for b, c in (docs[i] for i in kept)]).reshape(len(kept), -1)
+    table, weight = ((embed @ weight).astype(np.float32), None) if len(languages) <= WIDTH else (embed, weight)
+    hidden = np.array([(table[b] * c[:, None]).sum(axis=0) for b, c in (docs[i] for i in kept)]).reshape(len(kept), -1)
+    logits = (hidden if weight is None else hidden @ weight) + bias if len(kept) else np.zeros((0, len(languages)))
     temperature, least = _calibrate(logits, label[kept], accurate)
-    return Model(languages, table, bias.astype(np.float32), temperature, least)
+    return Model(languages, table, weight, bias.astype(np.float32), temperature, least)
 
 
 def _descend(docs, label, n_labels, seed, epochs, rate):
@@ -154,26 +156,28 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0. The whole text is read. Columns of ``docs`` with the
     names of the new ones are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, at most LANGUAGES
+    parts = (model.languages, model.subword, model.weight, model.bias, model.temperature)
+    held = docs.sparkSession.sparkContext.broadcast(parts)  # buckets x WIDTH, and WIDTH x languages
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        languages, subword, weight, bias, temperature = held.value
         for batch in pieces(batches, text, 1 << 20):
             raw, offsets = utf8(batch.column(text))
-            total = np.zeros((batch.num_rows, len(m.languages)))
+            total = np.zeros((batch.num_rows, subword.shape[1]))
             number = np.zeros(batch.num_rows)
             for bucket, good in subwords(raw, offsets):
                 keep = np.flatnonzero(good)
                 ends = np.searchsorted(keep, offsets)
                 some = ends[1:] > ends[:-1]
                 if some.any():
-                    total[some] += np.add.reduceat(m.subword[bucket[keep]], ends[:-1][some], axis=0)
+                    total[some] += np.add.reduceat(subword[bucket[keep]], ends[:-1][some], axis=0)
                 number += np.diff(ends)
-            p = softmax((total / np.maximum(number, 1)[:, None] + m.bias) / m.temperature)
+            mean = total / np.maximum(number, 1)[:, None]
+            p = softmax(((mean if weight is None else mean @ weight) + bias) / temperature)
             best = p.argmax(axis=1)
-            names = pa.array([m.languages[i] for i in best], pa.string())
+            names = pa.array([languages[i] for i in best], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), names, pa.array(p[np.arange(len(best)), best])], [*rest, "lang_pred", "score"]
             )

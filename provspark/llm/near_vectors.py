@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provspark.llm.common import with_nodes
 from provspark.llm.components import components
 from provspark.operators.scan import row_index
 from provspark.session import cut_lineage
@@ -172,21 +173,25 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.9, id_col: str = "ve
     """(id, n_links, component_id, kept) per row: rows with a cosine of ``at_least`` link, components by links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing:
-    they are components of their own. Rows with the same vector are compared once and count as linked. Repeated ids
-    share links and component. Vectors of different lengths never link.
+    they are components of their own. Rows with the same vector are compared once and count as linked. Vectors that share
+    an id have their own links each, and one component. Vectors of different lengths never link.
     """
     ids = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    good = ids.where(F.col("id").isNotNull() & usable(F.col("v")))
-    classes = cut_lineage(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    digest = F.concat_ws(" ", F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
+    good, bits = with_nodes(ids.where(F.col("id").isNotNull() & usable(F.col("v"))), digest)
+    classes = cut_lineage(good.groupBy("v").agg(F.min("node").alias("id"), F.count("*").alias("weight")))
     counts, edges = links(classes, at_least)
     member = good.join(classes.select("v", F.col("id").alias("rep"), "weight"), "v").select("id", "rep", "weight")
+    if bits:  # an id joins its vectors
+        first = member.groupBy("id").agg(F.min("rep").alias("b"))
+        edges = edges.unionByName(member.join(first, "id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
     groups = components(edges)
     known = (
         member.join(counts.withColumnRenamed("id", "rep"), "rep", "left")
         .join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(
             "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.shiftright(F.coalesce("component", "rep"), bits).alias("component_id"),
         )
     )
     rest = ids.where(F.col("id").isNull() | ~usable(F.col("v"))).select(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, blobs, bounded_batches, lists, mix, parts, pieces, release, tidied, utf8
+from provspark.llm.common import U64, blobs, bounded_batches, lists, mix, parts, pieces, release, text_digest, tidied, utf8, with_nodes
 from provspark.llm.packed import SCHEMA, by_owner, deltas, entries, planes, rows, starts, undeltas, unplanes
 from provspark.llm.words import prefix_sums, span_hash
 from provspark.session import cut_lineage
@@ -250,12 +250,13 @@ def _settle_windows(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, end): per document with repeats its maximal spans of bytes that a ``LENGTH``-byte string covers which
+    """(id, digest, start, end): per document with repeats its maximal spans of bytes that a ``LENGTH``-byte string covers which
     starts earlier too, in a smaller id or further left in the same text.
 
     Strings are bytes of UTF-8 and end with their document. Texts that are null or shorter than ``LENGTH`` have no spans.
     Rows that repeat an id and text are one document and get the same spans; rows without an id take no part. Ids are
-    longs.
+    longs. Unlike texts of one id are documents of their own, in order of their sha256, which ``digest`` then holds; it is
+    null where an id has one text.
 
     Ranks double from ``FIRST`` over ``SECOND`` to ``LENGTH`` bytes. The first are ranked at anchors only (each window has
     one, chosen by its content, about one place in 35): sorted by (rank of the anchor, rank of the run of windows around
@@ -273,6 +274,10 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
 
+    source, bits = with_nodes(source, text_digest())
+    named = source
+    source = source.select(F.col("node").alias("id"), "text")
+
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(n_parts // RANGES, "part")
 
@@ -287,7 +292,12 @@ def _repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     known = found.where(F.size("start") > 0).select("id", "start", "end")
     known = known.mapInArrow(tidied(lambda b: _as_blobs(b, n_parts)), SCHEMA)
     spans = dealt(late.unionByName(known)).mapInArrow(tidied(_by_document), BY_DOCUMENT)
-    return cut_lineage(spans.select("id", "start", "end"))
+    spans = cut_lineage(spans.select("id", "start", "end"))
+    none = F.lit(None).cast("string").alias("digest")
+    if not bits:
+        return spans.select("id", none, "start", "end")
+    names = named.select(F.col("node").alias("id"), text_digest().alias("digest")).distinct()
+    return cut_lineage(spans.join(names, "id").select(F.shiftright("id", bits).alias("id"), "digest", "start", "end"))
 
 
 def _as_blobs(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
@@ -312,8 +322,9 @@ def without_spans(
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("start", "end", kept)]
     mine = docs.select(*(F.col(f"`{c}`") for c in rest))
-    s = spans.select(F.col("id").alias("_span_id"), "start", "end")
-    met = mine.join(s, mine[id_col].cast("long") == s["_span_id"], "left").drop("_span_id")
+    s = spans.select(F.col("id").alias("_span_id"), F.col("digest").alias("_span_digest"), "start", "end")
+    own_text = F.col("_span_digest").isNull() | (F.col("_span_digest") == F.sha2(F.coalesce(mine[text], F.lit("")), 256))
+    met = mine.join(s, (mine[id_col].cast("long") == s["_span_id"]) & own_text, "left").drop("_span_id", "_span_digest")
     schema = met.withColumn(kept, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

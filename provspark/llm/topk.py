@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +17,18 @@ from provspark.session import cut_lineage
 BLOCK, BUCKET, QUERIES = 4096, 256, 512
 #: A bucket is searched by coordinates where the local threshold is at least this cosine, else by length.
 STEEP = 0.5
-LARGEST, NO_BOUND = 1 << 31, -(1 << 63)
+LARGEST, NO_BOUND = 1 << 62, -(1 << 63)
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of every component; null for vectors that are null, empty or hold null or non-finite ones.
 
-    Components of 2 ** 31 or more after scaling count as non-finite.
+    Components of 2 ** 62 or more after scaling are an error: they are neither dropped nor cut off.
     """
-    x = F.transform(vector, lambda c: F.floor(c.cast("double") * scale))
-    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * scale) < LARGEST))
+    wide = F.raise_error(F.lit("top_k: a scaled component does not fit in 62 bits")).cast("long")
+    scaled = lambda c: c.cast("double") * float(scale)
+    x = F.transform(vector, lambda c: F.when(F.abs(scaled(c)) >= float(LARGEST), wide).otherwise(F.floor(scaled(c))))
+    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < math.inf))
     return F.when(fine & (F.size(vector) > 0), x)
 
 
@@ -81,16 +84,23 @@ class Candidates:
                 else:
                     rows = rows[self.length[a:b] * size >= least * (1 - 1e-9)]
             rows = rows[self.ids[rows] != own]
-            scores = self.x[rows] @ query  # exact
+            scores = self._products(rows, query, size * self.length[a])
             if least is not None:
                 rows, scores = rows[scores >= least], scores[scores >= least]
             best_ids, best = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, scores])
             if len(best) >= k:
-                order = np.lexsort((best_ids, -best))[:k]
+                order = np.lexsort((best_ids, -best))[:k] if best.dtype != object else np.array(sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i])), np.int64)[:k]
                 best_ids, best = best_ids[order], best[order]
                 least = int(best[-1])
         return best_ids, best
 
+    def _products(self, rows: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
+        """Exact products: sums of longs are right whenever the product itself fits in one, which the bound on its size
+        tells; others are taken in integers of any size."""
+        if bound < LARGEST:
+            return self.x[rows] @ query
+        return self.x[rows].astype(object) @ query.astype(object) if len(rows) else np.zeros(0, object)
+
     def _by_coordinates(self, a: int, b: int, unit: np.ndarray, cosine: float) -> np.ndarray:
         """Rows whose two most telling coordinates lie where a vector within the cosine of the query must have them."""
         cosine = min(cosine, 1.0)
@@ -136,12 +146,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 least = []
                 for i, x in zip(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, width), strict=True):
                     scores = block.search(x, int(i), None, k)[1]
-                    least.append(int(scores[-1]) if len(scores) == k else NO_BOUND)
+                    least.append(max(NO_BOUND + 1, min(int(scores[-1]), -NO_BOUND - 1)) if len(scores) == k else NO_BOUND)
                 out.append(np.array(least, np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("ids"), batch.column("rows"), blobs(out)], ["q_ids", "q_rows", "bound"]
             )
 
+    def long(scores: np.ndarray) -> np.ndarray:
+        if len(scores) and (scores.max() > -NO_BOUND - 1 or scores.min() < NO_BOUND):
+            raise OverflowError("top_k: a score does not fit in a long")
+        return scores.astype(np.int64)
+
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -152,7 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     ids, scores = block.search(x, int(i), None if least == NO_BOUND else int(least), k)
                     q.append(np.full(len(ids), i))
                     v.append(ids)
-                    s.append(scores)
+                    s.append(long(scores))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)], ["query_id", "vec_id", "score"]
                 )
