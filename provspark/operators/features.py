@@ -34,13 +34,16 @@ def align_features(parts: Mapping[str, DataFrame], item: str = "item_id") -> Dat
 def extract_features(
     df: DataFrame, content: str, make_predict: Callable[[], Callable], dim: int, batch: int = 32, item: str = "item_id"
 ) -> DataFrame:
-    """Fixed-length vectors from the caller's batch model; Spark partitions the rows, the model loads once per worker."""
+    """Fixed-length vectors from the caller's batch model; Spark partitions the rows, the model loads once per worker.
+
+    Rows without content have no vector; one of another length is an error.
+    """
     predict = predict_batch_udf(
         make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=None
     )
-    return df.where(F.col(content).isNotNull()).select(item, predict(F.col(content)).alias("vec")).where(
-        F.size("vec") == dim
-    )
+    found = df.where(F.col(content).isNotNull()).select(item, predict(F.col(content)).alias("vec"))
+    other = F.raise_error(F.concat(F.lit(f"the model gave no vector of {dim}: "), F.size("vec").cast("string")))
+    return found.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(other))
 
 
 def trigram_model(dim: int) -> Callable[[], Callable]:

@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.hashing import uniform
 from provspark.functions.vectors import dot
+from provspark.operators.boosting import probe_scores
 from provspark.operators.metrics import auc_by_group, auc_two_sided, tpr_at_fpr
 from provspark.operators.ranks import exact_quantiles
 from provspark.functions.numeric import ERF_ONE, ERF_TERMS
@@ -160,11 +160,14 @@ def stack(scores: DataFrame, head: str, others: Sequence[str], fpr: float = 0.01
     """Does a head gain from other detectors? Each alone, each pair with the head, all together.
 
     Fit on validation humans and generators with balanced classes, threshold at the quantile of the fit negatives,
-    judged on test humans and channels. Columns item_id, kind, detector, score.
+    judged on test humans and channels. Columns item_id, kind, detector, score. Items that a detector has no score for
+    cannot be compared: ``left_out`` has their number.
     """
     wide = scores.groupBy("item_id", "kind").pivot("detector", [head, *others]).agg(F.max("score"))
-    wide = wide.withColumn("label", F.col("kind").startswith("k_").cast("int")).na.drop()
-    wide = cut_lineage(wide)
+    wide = cut_lineage(wide.withColumn("label", F.col("kind").startswith("k_").cast("int")))
+    left_out = wide.count()
+    wide = wide.na.drop()
+    left_out -= wide.count()
     fit, test = wide.where("kind in ('m_val', 'k_gen')"), wide.where("kind in ('m_test', 'k_kanal')")
     n = fit.groupBy().agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1")).first()
     balance = F.when(F.col("label") == 0, (n["n0"] + n["n1"]) / (2.0 * n["n0"])).otherwise((n["n0"] + n["n1"]) / (2.0 * n["n1"]))
@@ -188,27 +191,33 @@ def stack(scores: DataFrame, head: str, others: Sequence[str], fpr: float = 0.01
             F.avg(F.when(F.col("label") == 0, flagged)).alias("fpr"), F.avg(F.when(F.col("label") == 1, flagged)).alias("hit")
         ).first()
         auc = auc_two_sided(scored[1], []).first()["auc"]
-        one = [(" + ".join(columns), float(auc), float(row["hit"]), float(row["fpr"]))]
-        part = scores.sparkSession.createDataFrame(one, "combination string, auc double, hit double, fpr double")
+        one = [(" + ".join(columns), float(auc), float(row["hit"]), float(row["fpr"]), left_out)]
+        part = scores.sparkSession.createDataFrame(one, "combination string, auc double, hit double, fpr double, left_out bigint")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def leak_probe(df: DataFrame, columns: Sequence[str], group: str, trees: int = 50, depth: int = 4) -> DataFrame:
-    """Boosted trees on nuisance columns only: total AUC and per machine group; near 0.5 means no leak."""
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df)
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=1).fit(
-        assembled.where("split = 'train'").withColumn("label", F.col("label").cast("double"))
-    )
-    test = model.transform(assembled.where("split = 'test'").withColumn("label", F.col("label").cast("double")))
-    test = cut_lineage(
-        test.select(F.col(group).alias("grp"), "label", vector_to_array("probability")[1].alias("score"), F.lit("probe").alias("detector"))
-    )
+def leak_probe(df: DataFrame, columns: Sequence[str], group: str, trees: int = 300, depth: int = 4) -> DataFrame:
+    """Boosted trees on nuisance columns only: total AUC and per machine group; near 0.5 means no leak.
+
+    Columns label, split, the group and the nuisance columns. Unknown values are a value of their own, so every test row
+    is judged.
+    """
+    test = cut_lineage(probe_scores(df, columns, group, trees, depth)).withColumn("detector", F.lit("probe"))
     neg, pos = test.where("label = 0"), test.where("label = 1")
     total = auc_by_group(neg, pos.withColumn("grp", F.lit("all")))
     return total.unionByName(auc_by_group(neg, pos)).select("grp", "auc", "n_neg", "n_pos")
 
 
+def leak_probes(df: DataFrame, variants: Mapping[str, Sequence[str]], group: str, **how) -> DataFrame:
+    """The probe on several sets of nuisance columns, as on raw and on normalised ones, side by side (variant, ...)."""
+    out = None
+    for name, columns in variants.items():
+        part = leak_probe(df, columns, group, **how).select(F.lit(name).alias("variant"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def grouped_cv_probe(df: DataFrame, group: str, folds: int, c: float = 0.1) -> DataFrame:
     """Out-of-fold AUC of a linear probe; members of a group share a fold."""
     fold = F.crc32(F.encode(F.col(group).cast("string"), "utf-8")) % folds

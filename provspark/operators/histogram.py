@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators.scan import split_points
 from provspark.session import cut_lineage
 
 TIMES = "times"
@@ -21,6 +22,17 @@ def score_histogram(scores: DataFrame, keys: Sequence[str] = ("detector", "kind"
     return cut_lineage(scores.groupBy(*keys, score).agg(F.count("*").alias(TIMES)))
 
 
+def shared_points(*tables: DataFrame) -> list[float] | None:
+    """Split points of the scores of parts of one histogram, found once for all scans of a report; None for rows, whose
+    scans find their own behind what they cut off."""
+    if any(TIMES not in t.columns for t in tables):
+        return None
+    scores = [t.select("score") for t in tables]
+    for other in scores[1:]:
+        scores[0] = scores[0].unionByName(other)
+    return split_points(scores[0], "score")
+
+
 def times(df: DataFrame) -> Column:
     """How many rows a row stands for."""
     return F.col(TIMES) if TIMES in df.columns else F.lit(1).cast("bigint")

@@ -32,8 +32,9 @@ def exceed_rate(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str], o
 
 
 def auc_by_group(
-    negatives: DataFrame, positives: DataFrame, keys: Sequence[str] = ("detector",), groups: Sequence[str] = ("grp",)
-) -> DataFrame:
+    negatives: DataFrame, positives: DataFrame, keys: Sequence[str] = ("detector",), groups: Sequence[str] = ("grp",),
+    points: Sequence[float] | None = None,
+) -> DataFrame:
     """Mann-Whitney AUC of each positive group against the pooled negatives, ties counted half.
 
     Negatives and positives are counted per distinct score in one aggregation and scanned together once; every positive
@@ -52,7 +53,7 @@ def auc_by_group(
         .agg(F.sum("_neg").alias("_neg"), F.sum("_pos").alias("_pos"))
     )
     placed = scan(
-        counted, keys, "score", {"_upto": ("upto", F.col("_neg")), "_beside": ("peers", F.col("_neg"))}
+        counted, keys, "score", {"_upto": ("upto", F.col("_neg")), "_beside": ("peers", F.col("_neg"))}, points=points
     ).where(F.col("_pos") > 0)
     scored = negatives.where(F.col("score").isNotNull())
     total = scored.groupBy(*keys).agg(rows_of(negatives).alias("n_neg"))
@@ -86,13 +87,14 @@ def tpr_at_fpr(
     fpr: Sequence[float],
     keys: Sequence[str] = ("detector",),
     groups: Sequence[str] = ("grp",),
+    points: Sequence[float] | None = None,
 ) -> DataFrame:
     """Interpolated TPR of each positive group at the wanted false-positive rates.
 
     Ties of negatives and positives at the same score share the step, so a detector whose best score is reached by
     many negatives gets a fraction instead of zero; on a vertical stretch the upper end counts.
     """
-    bracket = roc_bracket(negatives, fpr, keys)
+    bracket = roc_bracket(negatives, fpr, keys, points)
     step = (F.col("target") - F.col("fpr_above")) / (F.col("fpr_at") - F.col("fpr_above"))
     above = mean_of((F.col("score") > F.col("edge")).cast("double"), positives)
     at = mean_of((F.col("score") >= F.col("edge")).cast("double"), positives)

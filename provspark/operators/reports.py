@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provspark.functions.numeric import logit
 from provspark.operators import metrics as M
 from provspark.operators import thresholds as T
-from provspark.operators.histogram import mean_of, rows_of, score_histogram
+from provspark.operators.histogram import mean_of, rows_of, score_histogram, shared_points
 from provspark.operators.ranks import exact_quantiles
 from provspark.session import settle
 
@@ -21,9 +21,10 @@ def rate_of(condition: Column) -> Column:
 
 def group_metrics(negatives: DataFrame, positives: DataFrame, thresholds: DataFrame, min_n: int = 40) -> DataFrame:
     """Per positive group: n, AUC against the pooled negatives, TPR at 1 and 5 %, hit rate at the stored threshold."""
-    auc = M.auc_by_group(negatives, positives)
+    points = shared_points(negatives, positives)
+    auc = M.auc_by_group(negatives, positives, points=points)
     tpr = (
-        M.tpr_at_fpr(negatives, positives, [0.01, 0.05])
+        M.tpr_at_fpr(negatives, positives, [0.01, 0.05], points=points)
         .groupBy("detector", "grp")
         .agg(
             F.max(F.when(F.col("target") == 0.01, F.col("tpr"))).alias("tpr_1"),
@@ -85,10 +86,11 @@ def benchmark(scores: DataFrame, fpr: float) -> DataFrame:
     z = scores.join(span, "detector").withColumn(
         "score", F.when(F.col("_probability"), logit(F.col("score"), 1e-7)).otherwise(F.col("score"))
     )
-    thr = T.threshold_group_mean(z.where("kind = 'm_val'"), [fpr])
+    points = shared_points(z)
+    thr = T.threshold_group_mean(z.where("kind = 'm_val'"), [fpr], points)
     rates = settle(M.exceed_rate(z.where("kind <> 'm_val'"), thr, ["detector", "kind", "grp"]))
     machine = z.where("kind in ('k_gen', 'k_kanal')")
-    auc = settle(M.auc_by_group(z.where("kind = 'm_test'"), machine, groups=["grp", "kind"]))
+    auc = settle(M.auc_by_group(z.where("kind = 'm_test'"), machine, groups=["grp", "kind"], points=points))
 
     def tall(df: DataFrame, metric: str, column: str) -> DataFrame:
         return df.select("detector", "grp", F.lit(metric).alias("metric"), F.col(column).alias("value"))
@@ -113,11 +115,12 @@ def benchmark(scores: DataFrame, fpr: float) -> DataFrame:
 
 def equal_fpr_compare(negatives: DataFrame, positives: DataFrame, fpr: float) -> DataFrame:
     """Every head at the threshold that gives the same mean false-positive rate: hits and AUC per group, mean hit."""
-    thr = T.threshold_group_mean(negatives, [fpr])
+    points = shared_points(negatives, positives)
+    thr = T.threshold_group_mean(negatives, [fpr], points)
     hits = positives.join(thr, "detector").groupBy("detector", "grp", "threshold").agg(
         mean_of(M.exceeds(), positives).alias("hit"), rows_of(positives).alias("n")
     )
-    auc = M.auc_by_group(negatives, positives).select("detector", "grp", "auc")
+    auc = M.auc_by_group(negatives, positives, points=points).select("detector", "grp", "auc")
     mean = hits.groupBy("detector").agg(F.avg("hit").alias("mean_hit"))
     return hits.join(auc, ["detector", "grp"]).join(mean, "detector")
 

@@ -43,7 +43,7 @@ def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
         per_group = negatives.groupBy("detector", "grp").agg(rows_of(negatives).alias("_n"))
         groups = per_group.groupBy("detector").agg(F.count("*").alias("_g"))
         shares = per_group.join(groups, "detector").select("detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share"))
-        return negatives.join(settle(shares), ["detector", "grp"])
+        return negatives.join(shares, ["detector", "grp"])  # both from the histogram, a row per group
     steps = [1]
     while fpr * steps[-1] < 1.0:
         steps.append(steps[-1] * 2)
@@ -69,10 +69,11 @@ def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
     return negatives.join(plan, ["detector", "grp"]).where(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
-def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFrame:
+def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float], points: Sequence[float] | None = None) -> DataFrame:
     """Smallest observed score whose exceedance, averaged over groups with equal weight, is at most the target.
 
-    The tail of the largest target holds the tails of all others, so one scan serves every target.
+    The tail of the largest target holds the tails of all others, so one scan serves every target. ``points``: split
+    points of the scores, where the caller has them.
     """
     tail = group_tail(negatives, max(fpr))
     counted = (
@@ -81,7 +82,7 @@ def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float]) -> DataFram
         .groupBy("detector", "score")
         .agg(F.sum(F.col("share") * F.col("n")).alias("w"))
     )
-    ordered = scan(counted, ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True)
+    ordered = scan(counted, ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True, points=points)
     above = F.col("from_top") - F.col("w")
     wide = ordered.groupBy("detector").agg(
         *[F.min(F.when(above <= f + TOLERANCE, F.col("score"))).alias(f"t{i}") for i, f in enumerate(fpr)]
@@ -146,7 +147,9 @@ def threshold_kth(negatives: DataFrame, fpr: float, keys: Sequence[str] = ("dete
     return settle(found.select(*keys, F.col("total").alias("n"), "k", F.col("kth").alias("threshold")))
 
 
-def roc_bracket(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str] = ("detector",)) -> DataFrame:
+def roc_bracket(
+    negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str] = ("detector",), points: Sequence[float] | None = None
+) -> DataFrame:
     """For each target the negative score ``edge`` where the ROC curve crosses it, with the rates beside it.
 
     Going down from the top, ``edge`` is the first score at which the false-positive rate exceeds the target;
@@ -156,7 +159,7 @@ def roc_bracket(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str]
     keys = list(keys)
     rows, totals = _tail(negatives, keys, "score", max(fpr))
     counted = value_counts(rows, keys, "score")
-    ordered = scan(counted, keys, "score", {"from_top": ("sum", F.col("n"))}, descending=True)
+    ordered = scan(counted, keys, "score", {"from_top": ("sum", F.col("n"))}, descending=True, points=points)
     targets = F.explode(F.array(*[F.lit(float(f)) for f in fpr]))
     return settle(
         ordered.join(totals, keys)

@@ -106,7 +106,7 @@ def m03(spark, sf):
 @query("m04_train_ensemble")
 def m04(spark, sf):
     df = labelled(spark, sf)
-    models = K.train_ensemble(df.where("split = 'train'"), df.where("split = 'val'"), range(3))
+    models = K.train_ensemble(df.where("split = 'train'"), df.where("split = 'val'"), range(5))
     return K.ensemble_scores(df.where("split = 'test'"), models).select("item_id", "label", r6("score"))
 
 
@@ -123,11 +123,14 @@ def m06(spark, sf):
 @query("m07_leak_probe")
 def m07(spark, sf):
     split = F.when(F.crc32(F.encode(F.col("item_id").cast("string"), "utf-8")) % 2 == 0, "train").otherwise("test")
-    items = view(spark, sf, "items").select(
-        "label", "model", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"),
-        (F.col("w") * F.col("h")).cast("double").alias("area"), (F.col("w") / (F.col("h") + 1)).alias("aspect"), split.alias("split"),
-    )
-    return K.leak_probe(items, ["w", "h", "area", "aspect"], "model", trees=8, depth=3)
+    items = view(spark, sf, "items").select("label", "model", "w", "h", split.alias("split"))
+    w, h = N.fit_within(F.col("w"), F.col("h"), 512)
+    sized = items.withColumns({"w_norm": w, "h_norm": h})
+    variants = {}
+    for name, (x, y) in {"raw": ("w", "h"), "normalised": ("w_norm", "h_norm")}.items():
+        sized = sized.withColumns({f"area_{name}": F.col(x) * F.col(y), f"aspect_{name}": F.col(x) / (F.col(y) + 1)})
+        variants[name] = [x, y, f"area_{name}", f"aspect_{name}"]
+    return K.leak_probes(sized, variants, "model")
 
 
 @query("m08_grouped_cv_probe")

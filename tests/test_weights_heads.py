@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from provspark.operators import boosting as B
 from provspark.operators import features as E
 from provspark.operators import heads as K
 from provspark.operators import weights as W
@@ -92,3 +93,42 @@ def test_alignment_drops_items_missing_in_one_backbone(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "item_id int, vec array<float>")
     b = spark.createDataFrame([(2, [3.0]), (3, [4.0])], "item_id int, vec array<float>")
     assert [tuple(r) for r in E.align_features({"a": a, "b": b}).collect()] == [(2, [2.0, 3.0])]
+
+
+def test_boosting_fits_counts_and_finds_what_leaks():
+    rng = np.random.default_rng(2)
+    bins = np.array([(a, b, c) for a in range(12) for b in range(12) for c in range(4)])
+    odds = np.where((bins[:, 0] > 5) ^ (bins[:, 1] > 7), 2.0, -2.0)  # no single column tells
+    n = rng.integers(0, 40, len(bins))
+    hit = rng.binomial(n, 1 / (1 + np.exp(-odds)))
+    score = B.boosted_scores(bins, n - hit, hit)
+    assert np.corrcoef(score, odds)[0, 1] > 0.95 and abs(np.abs(score[n > 0]).mean() - 2) < 0.5
+    assert (B.boosted_scores(bins, n - hit, hit) == score).all()  # the same on every run
+    # a whole table and its counts are the same thing
+    rows = np.repeat(np.arange(len(bins)), n)
+    assert np.isfinite(B.boosted_scores(bins[rows], np.ones(len(rows), int), np.zeros(len(rows), int), trees=5)).all()
+
+
+def test_leak_probe_judges_every_row(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    label = rng.integers(0, 2, n)
+    leak = np.where(rng.random(n) < 0.9, label, 1 - label) * 100.0 + rng.normal(size=n)
+    df = pd.DataFrame({"label": label, "model": np.where(label == 1, [f"m{i % 2}" for i in range(n)], "human"), "leak": leak,
+                       "noise": rng.normal(size=n), "split": np.where(rng.random(n) < 0.5, "train", "test")})
+    df.loc[::17, "leak"] = None
+    spark_df = spark.createDataFrame(df.astype({"leak": "object"}).where(df.notna(), None), "label int, model string, leak double, noise double, split string")
+    got = {(r["variant"], r["grp"]): r for r in K.leak_probes(spark_df, {"raw": ["leak", "noise"], "clean": ["noise"]}, "model", trees=60).collect()}
+    test = df[df["split"] == "test"]
+    assert set(got) == {(v, g) for v in ("raw", "clean") for g in ("all", "m0", "m1")}
+    assert all(r["n_neg"] == (test["label"] == 0).sum() for r in got.values()) and got["raw", "all"]["n_pos"] == (test["label"] == 1).sum()
+    assert got["raw", "all"]["auc"] > 0.8 and abs(got["clean", "all"]["auc"] - 0.5) < 0.06
+    with pytest.raises(ValueError):
+        B.bin_edges(spark_df, [f"c{i}" for i in range(30)])
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    df = spark.createDataFrame([(1, "abcd"), (2, None)], "item_id int, text string")
+    assert E.extract_features(df, "text", E.trigram_model(8), 8).count() == 1
+    with pytest.raises(Exception, match="no vector of 9"):
+        E.extract_features(df, "text", E.trigram_model(8), 9).collect()
