@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,24 +194,41 @@ def restricted_rating(rating: Column, unknown: bool = True) -> Column:
     return F.when(rating.isNull(), F.lit(unknown)).otherwise(~F.lower(rating.cast("string")).isin("general", "g"))
 
 
+def terms_in(text: Column, names: Mapping[str, str]) -> Column:
+    """Names of the spellings that occur in a text, sorted, each once; overlapping ones too.
+
+    One automaton of all spellings steps over each text once, however many there are; the plan holds no expression per
+    term. An empty spelling occurs in every text.
+    """
+    if not names:
+        return F.array().cast("array<string>")
+    everywhere = {names[s] for s in names if not s}
+    spelled = tuple((s, n) for s, n in names.items() if s)
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for spelling, name in spelled:
+            automaton.add_word(spelling, name)
+        automaton.make_automaton()
+        for batch in batches:
+            yield batch.map(lambda t: sorted(everywhere.union(n for _, n in automaton.iter(t)) if spelled else everywhere))
+
+    found.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(found, "array<string>")(F.coalesce(text, F.lit("")))
+
+
 def policy_entities(text: Column, entities: Sequence[str], series: Sequence[str] = ()) -> Column:
-    terms = _strings([*entities, *series])
-    return let(normalised(text), lambda t: F.array_sort(F.filter(terms, lambda term: F.contains(t, term))))
+    """Entities and series that occur anywhere in the normalised text."""
+    return terms_in(normalised(text), {t: t for t in [*entities, *series]})
 
 
 def policy_words(prompt: Column, terms: Sequence[str]) -> Column:
     """Terms that occur as whole words or word sequences."""
     lowered = F.replace(F.lower(F.coalesce(prompt, F.lit(""))), F.lit("_"), F.lit(" "))
     words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), " "), F.lit(" "))
-    padded = {" " + t.replace("_", " ") + " ": t for t in terms}
-    spelled, names = _strings(list(padded)), _strings(list(padded.values()))
-    pairs = F.arrays_zip(spelled.alias("padded"), names.alias("term"))
-    return let(
-        words,
-        lambda w: F.array_sort(
-            F.transform(F.filter(pairs, lambda p: F.contains(w, p["padded"])), lambda p: p["term"])
-        ),
-    )
+    return terms_in(words, {" " + t.replace("_", " ") + " ": t for t in terms})
 
 
 def credit_exempt(text: Column, credit: str) -> Column:

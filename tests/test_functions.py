@@ -42,6 +42,22 @@ def test_earliest_year(spark):
     assert one(spark, "nothing", X.earliest_year) is None
 
 
+def test_many_overlapping_terms_in_one_pass(spark):
+    import random
+
+    rng = random.Random(0)
+    terms = sorted({"".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 9))) for _ in range(120_000)})[:100_000]
+    texts = ["".join(rng.choice("abcdé #_") for _ in range(60)) for _ in range(20)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    found = df.select("i", X.policy_entities(F.col("c"), terms).alias("x"))
+    assert "contains" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in found.collect():
+        text = " " + (texts[r["i"]] or "").lower().replace("#", " ").replace("_", " ").replace("  ", " ") + " "
+        assert r["x"] == sorted(t for t in terms if t in text)
+    assert one(spark, "aab aa", lambda c: X.policy_words(c, ["aa", "aab", "aab_aa", "b aa", "a"])) == ["aa", "aab", "aab_aa"]
+    assert one(spark, "aab", lambda c: X.policy_entities(c, [])) == [] and one(spark, None, lambda c: X.policy_words(c, ["a"])) == []
+
+
 def test_policy_terms(spark):
     assert one(spark, "A #red_fox jumps", lambda c: X.policy_entities(c, ["red fox", "blue"])) == ["red fox"]
     assert one(spark, "well-read red_fox", lambda c: X.policy_words(c, ["red_fox", "read", "well-read"])) == ["red_fox", "well-read"]
