@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,7 +135,7 @@ def packed_trigrams(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Itera
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             part = batch.slice(a, rows)
-            part = part.filter(pa.compute.is_valid(part.column("text")))
+            part = part.filter(pc.is_valid(part.column("text")))
             texts = part.column("text").to_pylist()
             c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
             size = np.array([len(t) for t in texts], np.int64)

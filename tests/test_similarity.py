@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from provspark.functions import vectors as V
 from provspark.operators import clusters as C
 from provspark.operators import similarity as D
 
@@ -114,3 +116,26 @@ def test_contamination_keeps_existing_reasons(spark):
     hits = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2)], "channel string, b_id long")
     got = {r["id"]: r["reason"] for r in D.mark_contaminated(train, hits, "id").collect()}
     assert got == {1: "dublette: b", 2: "foto", 3: None}
+
+
+def test_leaders_when_lists_run_out(spark, small_chunks, monkeypatch):
+    monkeypatch.setattr(C, "NEIGHBOURS", 1)  # rows with more neighbours are joined again
+    v = vectors(120, dim=3, seed=11, near=40)
+    got = {r["id"]: r["leader"] for r in C.leader_clusters(frame(spark, v), 0.9).collect()}
+    assert got == greedy(v, 0.9)
+
+
+def test_packed_counts_stand_for_the_text_vectors_and_signatures_are_no_farther(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdeé ")) for _ in range(n)) for n in (0, 2, 3, 40, 400, 3000)] + ["aaaaaa", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    packed = D.text_vectors(df, "id").collect()
+    plain = {r["id"]: r["v"] for r in df.select("id", V.text_thumb(F.col("text")).alias("v")).collect() if r["v"] is not None}
+    assert {r["id"] for r in packed} == set(plain)
+    for r in packed:
+        assert np.allclose(V.unpack_units([bytes(r["vec"])])[0], plain[r["id"]], atol=1e-12)
+    x = vectors(60, dim=100, seed=8)
+    s = D._signature(x, D._basis(x[:20]))
+    assert s.shape == (60, 65) and np.allclose((s * s).sum(1), 1)
+    far = lambda y: np.linalg.norm(y[:, None] - y[None], axis=2)
+    assert (far(s) <= far(x) + 1e-9).all()
