@@ -1,4 +1,4 @@
-"""Exact ranks and order statistics built on partial aggregation and range-split scans."""
+"""Exact ranks and quantiles, built on partial aggregation, range-split scans and radix select."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.histogram import rows_of
-from provspark.operators.scan import scan, split_points
-from provspark.session import settle
-
-ACCURACY = 10_000
+from provspark.operators.radix import select_ranks
+from provspark.operators.scan import scan
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
@@ -30,65 +28,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, columns ``q0, q1, ...`` plus the row count ``n``.
 
-    One pass sketches a bracket around every wanted position. Rows below their bracket collapse map-side into one
-    count, rows above it are dropped, and only the distinct values inside are shuffled and scanned. The brackets are
-    settled first, because a sketch merged in another order after a retry could differ.
+    Both neighbours of every wanted position come from one radix select. Nulls and NaN take no part; without keys an
+    empty table gives one row with ``n`` = 0 and nulls.
     """
     keys = list(keys)
-    x = F.col(value).cast("double")
-    rows = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    slack = 2.0 / ACCURACY
-    lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
-    sketch = settle(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("_x", lows, ACCURACY).alias("_lo"),
-            F.percentile_approx("_x", highs, ACCURACY).alias("_hi"),
-            F.min("_x").alias("_min"),
-            F.max("_x").alias("_max"),
-        )
-    )
-    if keys:
-        joined = rows.join(sketch, keys)
-    else:
-        (only,) = sketch.collect()
-        if not only["n"]:
-            nothing = [F.lit(None).cast("double").alias(f"{prefix}{i}") for i in range(len(probs))]
-            return sketch.select("n", *nothing)
-        joined = rows.select(
-            "_x",
-            F.lit(only["n"]).alias("n"),
-            F.array(*[F.lit(v) for v in only["_lo"]]).alias("_lo"),
-            F.array(*[F.lit(v) for v in only["_hi"]]).alias("_hi"),
-            F.lit(only["_min"]).alias("_min"),
-            F.lit(only["_max"]).alias("_max"),
-        )
-    few = F.col("n") < 2 * ACCURACY  # the slack must span a few whole ranks
-    brackets = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(float(p)).alias("p"),
-            (F.col("_min") if p - slack <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_lo")[i])).alias("lo"),
-            (F.col("_max") if p + slack >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_hi")[i])).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    spread = joined.select(*keys, "n", "_x", F.explode(F.array(*brackets)).alias("b")).select(*keys, "n", "_x", "b.*")
-    counted = (
-        spread.where(F.col("_x") <= F.col("hi"))
-        .withColumn("_x", F.when(F.col("_x") < F.col("lo"), F.lit(float("-inf"))).otherwise(F.col("_x")))
-        .groupBy(*keys, "i", "p", "n", "_x")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    inside = counted.where(F.col("_x") > float("-inf"))
-    ranked = scan(counted, [*keys, "i"], "_x", {"upto": ("sum", F.col("m"))}, points=split_points(inside, "_x"))
-    position = F.col("p") * (F.col("n") - 1)
-    lower, upper = F.floor(position), F.ceil(position)
-    picked = ranked.groupBy(*keys, "i", "n", "p").agg(
-        F.min(F.when(F.col("upto") > lower, F.col("_x"))).alias("a"),
-        F.min(F.when(F.col("upto") > upper, F.col("_x"))).alias("b"),
-    )
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * (position - lower)
-    return picked.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("i") == i, value_at)).alias(f"{prefix}{i}") for i in range(len(probs))]
+    rows = df.where(~F.isnan(F.col(value).cast("double")))
+    positions = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    found = select_ranks(rows, keys, value, F.array(*[f(at) for at in positions for f in (F.floor, F.ceil)]))
+    picked = found.groupBy(*keys, *(["n"] if keys else [])).agg(
+        *([] if keys else [F.coalesce(F.max("n"), F.lit(0)).alias("n")]),
+        *[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"_v{i}") for i in range(2 * len(probs))],
     )
+    low, high = ([F.col(f"_v{2 * i + side}") for i in range(len(probs))] for side in (0, 1))
+    between = [F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at))) for a, b, at in zip(low, high, positions)]
+    return picked.select(*keys, "n", *[q.alias(f"{prefix}{i}") for i, q in enumerate(between)])

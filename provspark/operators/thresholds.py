@@ -1,7 +1,7 @@
 """Thresholds for a wanted false-positive rate.
 
 A score exceeds a threshold only when it is strictly greater. Columns: detector, grp, score; a score histogram may stand
-in for the rows: it needs no sketch to cut off what lies below the threshold.
+in for the rows.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.histogram import TIMES, rows_of
-from provspark.operators.ranks import ACCURACY, exact_quantiles, value_counts
+from provspark.operators.radix import TOLERANCE, select_mean_tail, select_ranks
+from provspark.operators.ranks import exact_quantiles, value_counts
 from provspark.operators.scan import scan
 from provspark.session import settle
 
-TOLERANCE = 1e-12
-
 
 def threshold_quantile(negatives: DataFrame, fpr: Sequence[float], keys: Sequence[str] = ("detector",)) -> DataFrame:
     """The linear-interpolated (1 - fpr) quantile of the pooled negatives; one row per key and target."""
@@ -32,57 +31,15 @@ def _long(wide: DataFrame, keys: Sequence[str], fpr: Sequence[float]) -> DataFra
     return wide.select(*keys, F.explode(F.array(*pairs)).alias("r")).select(*keys, "r.*")
 
 
-def group_tail(negatives: DataFrame, fpr: float) -> DataFrame:
-    """Rows that can carry the group-mean threshold, with the row weight ``share`` = 1 / (groups * rows of the group).
-
-    A mean over G groups of at most ``fpr`` keeps every single group at or below G * fpr, so the threshold cannot lie
-    under the largest per-group quantile at 1 - G * fpr. A sketch of that quantile (moved down by its rank error) cuts
-    off everything below: about G * fpr of the rows stay.
-    """
-    if TIMES in negatives.columns:
-        per_group = negatives.groupBy("detector", "grp").agg(rows_of(negatives).alias("_n"))
-        groups = per_group.groupBy("detector").agg(F.count("*").alias("_g"))
-        shares = per_group.join(groups, "detector").select("detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share"))
-        return negatives.join(shares, ["detector", "grp"])  # both from the histogram, a row per group
-    steps = [1]
-    while fpr * steps[-1] < 1.0:
-        steps.append(steps[-1] * 2)
-    slack = 2.0 / ACCURACY
-    probs = [max(0.0, 1.0 - fpr * s - slack) for s in steps]
-    per_group = settle(
-        negatives.groupBy("detector", "grp").agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx("score", probs, ACCURACY).alias("_q")
-        )
-    )
-    groups = per_group.groupBy("detector").agg(F.count(F.lit(1)).alias("_g"))
-    sized = per_group.join(groups, "detector")
-    choice = F.lit(None).cast("double")
-    for i in reversed(range(len(steps))):
-        cut = F.col("_q")[i] if probs[i] > 0 else F.lit(float("-inf"))
-        choice = F.when(F.col("_g") <= steps[i], cut).otherwise(choice)
-    floors = sized.groupBy("detector").agg(F.max(F.coalesce(choice, F.lit(float("-inf")))).alias("_floor"))
-    plan = settle(
-        sized.join(floors, "detector").select(
-            "detector", "grp", "_floor", (1.0 / (F.col("_g") * F.col("_n"))).alias("share")
-        )
-    )
-    return negatives.join(plan, ["detector", "grp"]).where(F.col("score") >= F.col("_floor")).drop("_floor")
-
-
 def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float], points: Sequence[float] | None = None) -> DataFrame:
     """Smallest observed score whose exceedance, averaged over groups with equal weight, is at most the target.
 
-    The tail of the largest target holds the tails of all others, so one scan serves every target. ``points``: split
-    points of the scores, where the caller has them.
+    Rows go through one radix select for all targets. A histogram is scanned once instead; ``points``: split points of
+    its scores, where the caller has them.
     """
-    tail = group_tail(negatives, max(fpr))
-    counted = (
-        tail.groupBy("detector", "grp", "share", "score")
-        .agg(rows_of(tail).alias("n"))
-        .groupBy("detector", "score")
-        .agg(F.sum(F.col("share") * F.col("n")).alias("w"))
-    )
-    ordered = scan(counted, ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True, points=points)
+    if TIMES not in negatives.columns:
+        return settle(select_mean_tail(negatives, ["detector"], "grp", "score", fpr))
+    ordered = scan(_group_weights(negatives), ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True, points=points)
     above = F.col("from_top") - F.col("w")
     wide = ordered.groupBy("detector").agg(
         *[F.min(F.when(above <= f + TOLERANCE, F.col("score"))).alias(f"t{i}") for i, f in enumerate(fpr)]
@@ -90,60 +47,38 @@ def threshold_group_mean(negatives: DataFrame, fpr: Sequence[float], points: Seq
     return _long(settle(wide), ["detector"], fpr)
 
 
-def cumulative_weight(negatives: DataFrame) -> DataFrame:
-    """For every distinct score the equal-group weight strictly above it."""
+def _group_weights(negatives: DataFrame) -> DataFrame:
+    """Every distinct score with its weight ``w``, groups weighing the same."""
     sizes = negatives.groupBy("detector", "grp").agg(rows_of(negatives).alias("_n"))
     groups = sizes.groupBy("detector").agg(F.count(F.lit(1)).alias("_g"))
     weights = sizes.join(groups, "detector").select(
         "detector", "grp", (1.0 / (F.col("_g") * F.col("_n"))).alias("share")
     )
-    counted = (
+    return (
         value_counts(negatives, ["detector", "grp"], "score")
         .join(weights, ["detector", "grp"])
         .groupBy("detector", "score")
         .agg(F.sum(F.col("share") * F.col("n")).alias("w"))
     )
-    ordered = scan(counted, ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True)
-    return ordered.select("detector", "score", "w", (F.col("from_top") - F.col("w")).alias("above"))
 
 
-def _tail(df: DataFrame, keys: Sequence[str], value: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """(rows that hold at least the top ``share`` of each key, row totals per key); the cut comes from a sketch."""
-    keys = list(keys)
-    prob = max(0.0, 1.0 - share - 2.0 / ACCURACY)
-    known = df.where(F.col(value).isNotNull())
-    if TIMES in df.columns:
-        return known, settle(known.groupBy(*keys).agg(rows_of(df).alias("total")))
-    stats = settle(
-        known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("total"), F.percentile_approx(value, prob, ACCURACY).alias("_cut")
-        )
-    )
-    few = F.col("total") < 2 * ACCURACY
-    kept = known.join(stats.select(*keys, "total", "_cut"), keys).where(few | (F.col(value) >= F.col("_cut")))
-    return kept.drop("total", "_cut"), stats.select(*keys, "total")
-
+def cumulative_weight(negatives: DataFrame) -> DataFrame:
+    """For every distinct score the equal-group weight strictly above it."""
+    ordered = scan(_group_weights(negatives), ["detector"], "score", {"from_top": ("sum", F.col("w"))}, descending=True)
+    return ordered.select("detector", "score", "w", (F.col("from_top") - F.col("w")).alias("above"))
 
-def kth_largest(df: DataFrame, keys: Sequence[str], value: str, count_of: str, share: float) -> DataFrame:
-    """The k-th largest value per key, k given per key as a SQL expression over the row count ``total``.
 
-    ``share`` bounds k / total; rows below the top share are cut off before anything is shuffled.
-    """
+def kth_largest(df: DataFrame, keys: Sequence[str], value: str, count_of: str) -> DataFrame:
+    """The k-th largest value per key, k given per key as a SQL expression over the row count ``total``; nulls are no
+    rows, NaN is the largest value. No row where k is beyond ``total``."""
     keys = list(keys)
-    rows, sizes = _tail(df, keys, value, share)
-    wanted = sizes.withColumn("k", F.expr(count_of))
-    ordered = scan(value_counts(rows, keys, value), keys, value, {"from_top": ("sum", F.col("n"))}, descending=True)
-    return (
-        ordered.join(wanted, keys)
-        .where(F.col("from_top") >= F.col("k"))
-        .groupBy(*keys, "total", "k")
-        .agg(F.max(value).alias("kth"))
-    )
+    found = select_ranks(df, keys, value, F.array(F.col("total") - F.expr(count_of)), count="total")
+    return found.select(*keys, "total", (F.col("total") - F.col("rank")).alias("k"), F.col("value").alias("kth"))
 
 
 def threshold_kth(negatives: DataFrame, fpr: float, keys: Sequence[str] = ("detector",)) -> DataFrame:
     """The max(1, round-half-even(fpr * n))-th largest negative; use it strictly (``score > kth``) or not (``>=``)."""
-    found = kth_largest(negatives, keys, "score", f"greatest(1, cast(bround({fpr!r}D * total, 0) as bigint))", fpr)
+    found = kth_largest(negatives, keys, "score", f"greatest(1, cast(bround({fpr!r}D * total, 0) as bigint))")
     return settle(found.select(*keys, F.col("total").alias("n"), "k", F.col("kth").alias("threshold")))
 
 
@@ -154,11 +89,27 @@ def roc_bracket(
 
     Going down from the top, ``edge`` is the first score at which the false-positive rate exceeds the target;
     ``fpr_above`` and ``fpr_at`` are the rates strictly above it and including it. Only negatives move the curve
-    sideways, so this is all that interpolation needs, whatever the number of positive groups.
+    sideways, so this is all that interpolation needs, whatever the number of positive groups. Rows go through one radix
+    select for all targets, a histogram through one scan.
     """
     keys = list(keys)
-    rows, totals = _tail(negatives, keys, "score", max(fpr))
-    counted = value_counts(rows, keys, "score")
+    if TIMES not in negatives.columns:
+        first_over = [F.col("total") - F.floor(F.lit(float(f)) * F.col("total")) - 1 for f in fpr]
+        found = select_ranks(negatives, keys, "score", F.array(*first_over), count="total")
+        target = F.element_at(F.array(*[F.lit(float(f)) for f in fpr]), F.col("i") + 1)
+        over = F.col("total") - F.col("below")
+        return settle(
+            found.select(
+                *keys,
+                target.alias("target"),
+                F.col("value").alias("edge"),
+                ((over - F.col("peers")) / F.col("total")).alias("fpr_above"),
+                (over / F.col("total")).alias("fpr_at"),
+            )
+        )
+    known = negatives.where(F.col("score").isNotNull())
+    totals = settle(known.groupBy(*keys).agg(rows_of(negatives).alias("total")))
+    counted = value_counts(known, keys, "score")
     ordered = scan(counted, keys, "score", {"from_top": ("sum", F.col("n"))}, descending=True, points=points)
     targets = F.explode(F.array(*[F.lit(float(f)) for f in fpr]))
     return settle(
