@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.session import cut_lineage, settle
+from provspark.session import bounded_batches, cut_lineage, settle  # noqa: F401
 
 U64 = np.uint64
 #: Resident bytes from which a worker gives memory back after a task.
@@ -30,16 +30,6 @@ def parts(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few enough rows and bytes that long texts do not fill a worker; a lower setting is kept."""
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(name, None)
-        size = int(now[:-1]) if now and now[:-1].isdigit() and now.endswith("b") else int(now) if now and now.isdigit() else None
-        if size is None or size > most:
-            spark.conf.set(name, str(most))
-
-
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,23 @@ def test_packed_counts_stand_for_the_text_vectors_and_signatures_are_no_farther(
     assert s.shape == (60, 65) and np.allclose((s * s).sum(1), 1)
     far = lambda y: np.linalg.norm(y[:, None] - y[None], axis=2)
     assert (far(s) <= far(x) + 1e-9).all()
+
+
+def test_rows_leave_python_once_however_many_chunk_pairs_they_go_to():
+    v = vectors(1000, seed=12)
+    cells = D.VectorCells(v[:40])
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(1000), "vec": v.tolist(), "radius": np.full(1000, 2.0)})
+    counts = np.arange(40), np.full(40, 5 * cells.chunk)  # every cell holds five chunks of either side
+    out = list(D.addressed(iter([batch]), cells.visits, counts, counts, cells.chunk, True))
+    assert max(b.num_rows for b in out) <= D.SLICE and sum(b.num_rows for b in out) == 1000
+    goals = [g for b in out for g in b.column("_to").to_pylist()]
+    assert all({(t["cell"], t["j"]) for t in g} == {(c, j) for c in range(40) for j in range(5)} for g in goals)
+    assert all(len(g) == 200 and len({(t["cell"], t["i"]) for t in g}) == 40 for g in goals)
+
+
+def test_long_texts_are_counted_few_at_a_time():
+    texts = ["ab" * 40, "c" * 5, "d" * 5, "", "efg" * 50, "h"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "text": texts})
+    assert [p.column("text").to_pylist() for p in V._short_runs(batch, 2, 20)] == [[texts[0]], texts[1:3], [""], [texts[4]], ["h"]]
+    one, whole = (list(V.packed_trigrams(iter([batch]), most=n)) for n in (20, 1 << 20))
+    assert pa.Table.from_batches(one).to_pylist() == pa.Table.from_batches(whole).to_pylist()
