@@ -8,6 +8,7 @@ after a lost executor, see the same ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,13 +21,16 @@ RANGE = "_range"
 
 
 def split_points(df: DataFrame, order: str, parts: int | None = None) -> list[float]:
-    """At most ``parts - 1`` increasing split points of a numeric column (a bounded driver-side list)."""
+    """At most ``parts - 1`` increasing split points of a numeric column (a bounded driver-side list).
+
+    Only finite ones: the ends of the outer ranges are infinite anyway.
+    """
     parts = parts or partitions(df.sparkSession)
     if parts < 2:
         return []
     probs = [i / parts for i in range(1, parts)]
     found = df.select(F.col(order).cast("double").alias(order)).approxQuantile(order, probs, 1.0 / (4 * parts))
-    return sorted(set(found))
+    return sorted({p for p in found if math.isfinite(p)})
 
 
 def with_range(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:

@@ -121,3 +121,12 @@ def test_stream_equals_batch_and_repeats_safely(spark, folder, cuts):
     got = {r["item_id"]: r["reason"] for r in spark.read.parquet(f"{folder}/log").collect()}
     want = {r["item_id"]: r["reason"] for r in admit_with_quota(df, "prompted", policy, 3).collect()}
     assert got == want
+
+
+def test_report_with_more_unscored_rows_than_a_range_holds(spark, folder):
+    df = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(300)], "item_id long, score double")
+    tables.write_scores_csv(df, f"{folder}/s", "item_id")
+    got = {int(r["item_id"]): (int(r["place"]), r["probability"]) for r in spark.read.csv(f"{folder}/s", sep=";", header=True).collect()}
+    order = sorted(range(300), key=lambda i: (i % 3 != 0, -i if i % 3 == 0 else i))
+    assert {i: p for i, (p, _) in got.items()} == {i: place + 1 for place, i in enumerate(order)}
+    assert all((p is None) == (i % 3 != 0) for i, (_, p) in got.items())
