@@ -404,10 +404,11 @@ def z01(spark, sf):
     root = scratch(spark, "stream")
     rows = candidates(spark, sf).select("item_id", "creator", "tags", "text", "rating", "real_score", "w", "h")
     cuts = [float("-inf"), *rows.approxQuantile("item_id", [0.3, 0.7], 0.01), float("inf")]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # arrival in three parts
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        # arrival in three parts, each one batch, however many files it has: these are in no order of items
         rows.where((F.col("item_id") >= lo) & (F.col("item_id") < hi)).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    admit_stream(stream, f"{root}/log", f"{root}/checkpoint", "prompted", POLICY, 2).awaitTermination()
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        admit_stream(stream, f"{root}/log", f"{root}/checkpoint", "prompted", POLICY, 2).awaitTermination()
     log = spark.read.schema("item_id BIGINT, creator STRING, reason STRING, batch BIGINT").parquet(f"{root}/log")
     return log.select("item_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 

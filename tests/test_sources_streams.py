@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provspark.operators.admission import admit_with_quota
 from provspark.operators.messages import carry_caption, pair_tokens
+from provspark.plans import curation_queries, model_queries
 from provspark.sources import exports, manifests, tables
 from provspark.streaming.admit import admit_stream
 
@@ -123,6 +124,14 @@ def test_stream_equals_batch_and_repeats_safely(spark, folder, cuts):
     assert got == want
 
 
+def test_arrivals_of_many_files_are_decided_in_item_order(spark, sf, folder):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs.repartition(6, "doc_id").write.parquet(f"{folder}/documents.parquet")  # each file holds items from everywhere
+    labels.write.parquet(f"{folder}/labels.parquet")
+    got = {r["item_id"]: r["reason"] for r in model_queries.z01(spark, folder).collect()}
+    assert got == {r["item_id"]: r["reason"] for r in curation_queries.p04_quota(spark, folder).collect()}
+
+
 def test_report_with_more_unscored_rows_than_a_range_holds(spark, folder):
     df = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(300)], "item_id long, score double")
     tables.write_scores_csv(df, f"{folder}/s", "item_id")
