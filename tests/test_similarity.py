@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from provspark.functions import vectors as V
 from provspark.operators import clusters as C
 from provspark.operators import similarity as D
+from provspark.plans import dedup_queries as Q
 
 
 def vectors(n, dim=8, seed=0, near=0):
@@ -160,3 +161,20 @@ def test_long_texts_are_counted_few_at_a_time():
     assert [p.column("text").to_pylist() for p in V._short_runs(batch, 2, 20)] == [[texts[0]], texts[1:3], [""], [texts[4]], ["h"]]
     one, whole = (list(V.packed_trigrams(iter([batch]), most=n)) for n in (20, 1 << 20))
     assert pa.Table.from_batches(one).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
+def test_quantiles_of_best_matches_search_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def searched(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def nearest(left, right):
+        return spark.range(100).selectExpr("id as a_id", "id as b_id", "id / 100d as cosine").mapInArrow(searched, D.BEST)
+
+    monkeypatch.setattr(Q, "sides", lambda spark, sf: (None, None))
+    monkeypatch.setattr(D, "nearest_cosine", nearest)
+    assert Q.a25(spark, "").first()["q0"] == pytest.approx(0.495)
+    assert read.value == 100
