@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions.vectors import let
+from provspark.session import bounded_batches
 
 # Patterns whose matches must stay the same for equal results.
 FILE_DATE = r"@(\d\d)-(\d\d)-(\d{4})"
@@ -202,6 +203,9 @@ def terms_in(text: Column, names: Mapping[str, str]) -> Column:
     """
     if not names:
         return F.array().cast("array<string>")
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        bounded_batches(session)
     everywhere = {names[s] for s in names if not s}
     spelled = tuple((s, n) for s, n in names.items() if s)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions import text as X
 from provspark.operators.sampling import first_occurrence, quota
+from provspark.session import bounded_batches
 
 # Reason codes as they stand in manifests.
 REASONS = {
@@ -69,6 +70,7 @@ CASCADES = {
 
 
 def admit_cascade(df: DataFrame, kind: str, policy: Mapping[str, Sequence[str]]) -> DataFrame:
+    bounded_batches(df.sparkSession)  # the rules on texts run in Python
     book = rule_book(policy)
     return admit(df, [book[r] for r in CASCADES[kind]])
 
@@ -96,6 +98,7 @@ def admit_unique(df: DataFrame, kind: str, policy: Mapping[str, Sequence[str]],
 
 def readmit_style(df: DataFrame, policy: Mapping[str, Sequence[str]], name: str = "reason") -> DataFrame:
     """Style-inverted pass: rows rejected for style only are wanted now; everything else keeps its reason."""
+    bounded_batches(df.sparkSession)
     styled = F.col(name).startswith(REASONS["style"].split(":")[0])
     return df.where(styled).withColumn(name, rule_reason(policy))
 

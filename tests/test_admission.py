@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provspark.functions import hashing as H
+from provspark.functions import text as X
 from provspark.operators import admission as A
 from provspark.operators import sampling as S
 from provspark.operators import splits as L
@@ -118,3 +119,15 @@ def test_retry_only_errors(spark):
     df = spark.range(4).withColumnRenamed("id", "k")
     decided = spark.createDataFrame([(0, "fehler: X"), (1, None), (2, "foto")], "k long, reason string")
     assert [r["k"] for r in A.only_new(df, decided, "k", True).orderBy("k").collect()] == [0, 3]
+
+
+@pytest.mark.parametrize("rule", ["cascade", "words"])
+def test_texts_come_to_the_rules_in_bounded_batches(spark, rule):
+    batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+    for key in batches:
+        spark.conf.unset(key)
+    if rule == "words":
+        X.policy_words(F.col("text"), ["bad"])
+    else:
+        A.admit_cascade(spark.createDataFrame([([], "t", 1, 1, 1, 0.1)], "tags array<string>, text string, rating int, w int, h int, real_score double"), "prompted", {})
+    assert all(int(spark.conf.get(key)) <= most for key, most in batches.items())
