@@ -132,3 +132,13 @@ def test_vectors_of_another_length_are_an_error(spark):
     assert E.extract_features(df, "text", E.trigram_model(8), 8).count() == 1
     with pytest.raises(Exception, match="no vector of 9"):
         E.extract_features(df, "text", E.trigram_model(8), 9).collect()
+
+
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def test_extracted_texts_come_in_bounded_batches(spark):
+    for key in BATCHES:
+        spark.conf.unset(key)
+    E.extract_features(spark.createDataFrame([(1, "abc")], "item_id long, text string"), "text", E.trigram_model(64), 64)
+    assert all(int(spark.conf.get(key)) <= most for key, most in BATCHES.items())
