@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from provspark.functions.hashing import uniform
 from provspark.functions.vectors import dot
 from provspark.operators.boosting import probe_scores
+from provspark.operators.histogram import TIMES, mean_of, rows_of, times
 from provspark.operators.metrics import auc_by_group, auc_two_sided, tpr_at_fpr
 from provspark.operators.ranks import exact_quantiles
 from provspark.functions.numeric import ERF_ONE, ERF_TERMS
@@ -162,39 +163,45 @@ def stack(scores: DataFrame, head: str, others: Sequence[str], fpr: float = 0.01
     Fit on validation humans and generators with balanced classes, threshold at the quantile of the fit negatives,
     judged on test humans and channels. Columns item_id, kind, detector, score. Items that a detector has no score for
     cannot be compared: ``left_out`` has their number.
+
+    Items of equal scores are counted once and are one row from there on; all combinations are judged together.
     """
-    wide = scores.groupBy("item_id", "kind").pivot("detector", [head, *others]).agg(F.max("score"))
-    wide = cut_lineage(wide.withColumn("label", F.col("kind").startswith("k_").cast("int")))
-    left_out = wide.count()
-    wide = wide.na.drop()
-    left_out -= wide.count()
-    fit, test = wide.where("kind in ('m_val', 'k_gen')"), wide.where("kind in ('m_test', 'k_kanal')")
-    n = fit.groupBy().agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1")).first()
-    balance = F.when(F.col("label") == 0, (n["n0"] + n["n1"]) / (2.0 * n["n0"])).otherwise((n["n0"] + n["n1"]) / (2.0 * n["n1"]))
-    sets = [[head], *[[o] for o in others], *[[head, o] for o in others], [head, *others]]
-    out = None
-    for columns in sets:
-        if len(columns) == 1:
-            scored = [d.withColumn("score", F.col(columns[0])) for d in (fit, test)]
-        else:
-            vec = F.array(*[F.col(c).cast("double") for c in columns])
-            a, b = (d.withColumn("vec", vec).withColumn("w", balance) for d in (fit, test))
-            data = a.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"), "w")
-            mass = n["n0"] + n["n1"]
+    columns = [head, *others]
+    wide = scores.groupBy("item_id", "kind").pivot("detector", columns).agg(F.max("score"))
+    counted = wide.groupBy("kind", *columns, F.col("item_id").isNull().alias("_nameless")).agg(F.count("*").alias(TIMES))
+    counted = cut_lineage(counted.withColumn("label", F.col("kind").startswith("k_").cast("int")))
+    known = counted.where("not _nameless").drop("_nameless").na.drop()
+    left_out = (counted.agg(rows_of(counted)).first()[0] or 0) - (known.agg(rows_of(known)).first()[0] or 0)
+    in_fit, in_test = F.col("kind").isin("m_val", "k_gen"), F.col("kind").isin("m_test", "k_kanal")
+    fit = known.where(in_fit)
+    n = fit.agg(F.sum((1 - F.col("label")) * times(fit)).alias("n0"), F.sum(F.col("label") * times(fit)).alias("n1")).first()
+    mass = n["n0"] + n["n1"]
+    balance = F.when(F.col("label") == 0, mass / (2.0 * n["n0"])).otherwise(mass / (2.0 * n["n1"]))
+    sets = [[head], *[[o] for o in others], *[[head, o] for o in others], columns]
+    judged = []
+    for i, chosen in enumerate(sets):
+        score = F.col(chosen[0]).cast("double")
+        if len(chosen) > 1:
+            vec = F.array(*[F.col(c).cast("double") for c in chosen])
+            data = fit.select(
+                array_to_vector(vec).alias("features"), F.col("label").cast("double").alias("label"), (balance * times(fit)).alias("w")
+            )
             model = LogisticRegression(
                 weightCol="w", regParam=1.0 / mass, elasticNetParam=0.0, standardization=False
             ).fit(data)
-            scored = [apply_logistic(d, model) for d in (a, b)]
-        cut = exact_quantiles(scored[0].where("label = 0"), [], "score", [1.0 - fpr]).first()["q0"]
-        flagged = (F.col("score") > F.lit(cut)).cast("double")
-        row = scored[1].agg(
-            F.avg(F.when(F.col("label") == 0, flagged)).alias("fpr"), F.avg(F.when(F.col("label") == 1, flagged)).alias("hit")
-        ).first()
-        auc = auc_two_sided(scored[1], []).first()["auc"]
-        one = [(" + ".join(columns), float(auc), float(row["hit"]), float(row["fpr"]), left_out)]
-        part = scores.sparkSession.createDataFrame(one, "combination string, auc double, hit double, fpr double, left_out bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+            score = dot(vec, _numbers(model.coefficients.toArray())) + F.lit(float(model.intercept))
+        judged.append(F.struct(F.lit(i).alias("place"), F.lit(" + ".join(chosen)).alias("combination"), score.alias("score")))
+    keys = ["place", "combination"]
+    long = known.select(in_fit.alias("_fit"), in_test.alias("_test"), "label", TIMES, F.explode(F.array(*judged)).alias("j"))
+    long = long.select("_fit", "_test", "label", TIMES, "j.*")
+    cuts = exact_quantiles(long.where("_fit and label = 0"), keys, "score", [1.0 - fpr]).select(*keys, F.col("q0").alias("_cut"))
+    test = long.where("_test").drop("_fit", "_test")
+    flagged = (F.col("score") > F.col("_cut")).cast("double")
+    rates = test.join(F.broadcast(cuts), keys).groupBy(*keys).agg(
+        mean_of(F.when(F.col("label") == 0, flagged), test).alias("fpr"), mean_of(F.when(F.col("label") == 1, flagged), test).alias("hit")
+    )
+    both = auc_two_sided(test, keys).join(rates, keys)
+    return both.select("combination", "auc", "hit", "fpr", F.lit(left_out).cast("bigint").alias("left_out"))
 
 
 def leak_probe(df: DataFrame, columns: Sequence[str], group: str, trees: int = 300, depth: int = 4) -> DataFrame:

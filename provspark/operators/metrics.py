@@ -69,7 +69,8 @@ def auc_two_sided(df: DataFrame, keys: Sequence[str], label: str = "label", scor
     """AUC per key when negatives and positives share the key (label 0 / 1), ties averaged."""
     keys = list(keys)
     both = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.sum((F.col(label) == 0).cast("bigint")).alias("_neg"), F.sum((F.col(label) == 1).cast("bigint")).alias("_pos")
+        F.sum((F.col(label) == 0).cast("bigint") * times(df)).alias("_neg"),
+        F.sum((F.col(label) == 1).cast("bigint") * times(df)).alias("_pos"),
     )
     placed = scan(both, keys, "_s", {"_upto": ("sum", F.col("_neg"))})
     return placed.groupBy(*keys).agg(

@@ -134,6 +134,24 @@ def test_vectors_of_another_length_are_an_error(spark):
         E.extract_features(df, "text", E.trigram_model(8), 9).collect()
 
 
+def test_auc_of_counted_rows(spark):
+    rows = [(1.0, 0, 3), (1.0, 1, 1), (2.0, 1, 5), (0.0, 0, 2), (0.0, 1, 4)]
+    counted = spark.createDataFrame(rows, "score double, label int, times long")
+    single = counted.selectExpr("score", "label", "explode(sequence(1, times)) as _i").drop("_i")
+    assert auc_two_sided(counted, []).collect() == auc_two_sided(single, []).collect()
+
+
+def test_stack_counts_items_of_equal_scores_and_those_left_out(spark):
+    kinds = ("m_val", "m_test", "k_gen", "k_kanal")
+    rows = [(i, kinds[i % 4], d, float((i * 7) % 10 + (i % 4 > 1) * 4) / (2 if d == "b" else 1)) for i in range(240) for d in "ab" if (i, d) != (5, "b")]
+    got = {r["combination"]: r for r in K.stack(spark.createDataFrame(rows, "item_id long, kind string, detector string, score double"), "a", ["b"], 0.2).collect()}
+    a = pd.DataFrame([r for r in rows if r[2] == "a" and r[0] != 5], columns=["i", "kind", "d", "s"]).groupby("kind")["s"].apply(np.array)
+    cut = np.quantile(a["m_val"], 0.8)
+    assert got["a"]["fpr"] == pytest.approx((a["m_test"] > cut).mean()) and got["a"]["hit"] == pytest.approx((a["k_kanal"] > cut).mean())
+    beats = (a["k_kanal"][:, None] > a["m_test"][None]) + 0.5 * (a["k_kanal"][:, None] == a["m_test"][None])
+    assert got["a"]["auc"] == pytest.approx(beats.mean()) and {r["left_out"] for r in got.values()} == {1} and set(got) == {"a", "b", "a + b"}
+
+
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
