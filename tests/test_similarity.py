@@ -178,3 +178,89 @@ def test_quantiles_of_best_matches_search_once(spark, monkeypatch):
     monkeypatch.setattr(D, "nearest_cosine", nearest)
     assert Q.a25(spark, "").first()["q0"] == pytest.approx(0.495)
     assert read.value == 100
+
+
+def test_sorted_pairs_search_once(spark, monkeypatch, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def searched(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def pairs(spark, sf):
+        return spark.range(100).selectExpr("id as a_id", "id + 1 as b_id", "id % 7 / 100d as cosine").mapInArrow(searched, D.BEST)
+
+    monkeypatch.setattr(Q, "j12", pairs)
+    got = [(r["a_id"], r["cosine"]) for r in Q.t04(spark, "").collect()]
+    assert got == sorted(((i, i % 7 / 100) for i in range(100)), key=lambda r: (-r[1], r[0]))
+    assert read.value == 100
+
+
+def test_copies_of_rows_grow_no_faster_than_the_rows(spark, small_chunks):
+    """Chunks grow with the rows, and of a table with itself a pair meets once: so few copies of a row are made."""
+    copies = []
+    for n in (1500, 6000):
+        cells = D.OwnCells(D.vector_cells(frame(spark, vectors(n, seed=13))))
+        rows = cells.place(frame(spark, vectors(n, seed=13))).withColumn("radius", F.lit(2.0))
+        counts = D._cell_counts(rows, cells.visits), D._cell_counts(rows, cells.home)
+        left = D._spread(rows, cells.visits, *counts, cells.chunk, True).select("id", "cell", "j").distinct().count()
+        copies.append(left / n)
+    assert copies[1] < 1.3 * copies[0]
+
+
+def test_pairs_of_a_table_with_itself_meet_once(spark, small_chunks):
+    v = vectors(300, seed=14, near=100)
+    cells = D.OwnCells(D.vector_cells(frame(spark, v)))
+    rows = cells.place(frame(spark, v))
+
+    def met(cell, x, y):
+        a, b = (g.ravel() for g in np.meshgrid(x.ids, y.ids, indexing="ij"))
+        once = a < b if cell % 2 == 0 else np.ones(len(a), bool)
+        yield np.minimum(a, b)[once], np.maximum(a, b)[once]
+
+    got = [(r["a"], r["b"]) for r in D.cell_join(rows.withColumn("radius", F.lit(2.0)), rows, cells, "vec", met, "a bigint, b bigint").collect()]
+    assert sorted(got) == [(a, b) for a in range(300) for b in range(a + 1, 300)]
+
+
+def test_pairs_leave_a_chunk_block_by_block():
+    """All rows of both sides are near each other; no block gives more than its rows times its columns."""
+    v = vectors(9000, dim=4, seed=15, near=9000)
+    ids = np.arange(9000)
+    x, y = D.Side(ids, pa.array(v.tolist())), D.Side(ids, pa.array(v.tolist()))
+    sizes = [len(D._near(a, b, 0.9)[0]) for _, _, a, b in D._blocks(x, y, later=True)]
+    assert max(sizes) <= D.BLOCK * D.ACROSS and len(sizes) < -(-9000 // D.BLOCK) * -(-9000 // D.ACROSS)
+
+
+@pytest.mark.parametrize("cosines", [True, False])
+def test_single_precision_decides_nothing(cosines):
+    rng = np.random.default_rng(19)
+    a = vectors(400, dim=1000, seed=16)
+    b = a + rng.normal(scale=1e-3, size=a.shape)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    sims = a @ b.T
+    limit = float(np.sort(sims.diagonal())[200])  # many rows are nearer to it than the margin
+    i, j, cosine = D._near(a, b, limit, cosines)
+    assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(sims >= limit - 1e-15), strict=True))
+    assert not cosines or np.abs(cosine - sims[i, j]).max() < 1e-14
+
+
+def test_packed_counts_take_a_bit_for_each_bin_and_few_bytes_for_a_count():
+    rng = np.random.default_rng(17)
+    counts = rng.integers(0, 5, (4, V.BINS)) * rng.integers(0, 2, (4, V.BINS))
+    counts[1, 5], counts[2, 6], counts[3] = 70_000, 300, 0
+    packed = V.pack_counts(counts)
+    assert len(packed[0]) == 129 + (counts[0] > 0).sum() and len(packed[3]) == 129
+    centred = counts - counts.mean(axis=1, keepdims=True)
+    want = centred / np.maximum(1e-300, np.linalg.norm(centred, axis=1, keepdims=True))
+    assert np.allclose(V.unpack_units(packed), want, atol=1e-15)
+
+
+def test_clusters_of_many_rows_in_one_chunk(spark):
+    v = vectors(6000, dim=3, seed=18, near=2000)
+    got = {r["id"]: r["leader"] for r in C.leader_clusters(frame(spark, v), 0.995).collect()}
+    want = np.full(len(v), -1)
+    for i in range(len(v)):
+        if want[i] < 0:
+            want[(want < 0) & (v @ v[i] >= 0.995) & (np.arange(len(v)) >= i)] = i
+    assert got == dict(enumerate(want.tolist()))
