@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.similarity import collapse_copies, earlier_neighbours
-from provspark.session import cut_lineage
+from provspark.session import cut_lineage, cut_round
 
 
 #: Earlier neighbours of a row that are kept at a time.
@@ -30,7 +30,7 @@ def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
     while True:
         first = F.get("near", F.lit(0))
         leader = F.when(first["leads"], first["b"]).when(F.size("near") == 0, F.when(F.col("whole"), F.col("id")))
-        stepped = cut_lineage(open_rows.withColumn("leader", leader))
+        stepped = cut_round(open_rows.withColumn("leader", leader))
         new = stepped.where("leader is not null").select("id", "leader")
         rest = stepped.where("leader is null").drop("leader")
         if new.isEmpty():
@@ -41,7 +41,7 @@ def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
             followers = decided.where("id <> leader").select("id")
             more = earlier_neighbours(rows.join(out, "id"), rows.join(followers, "id", "left_anti"), at_least, NEIGHBOURS)
             again = _listed(out, more, decided)
-            open_rows = cut_lineage(rest.join(out, "id", "left_anti").unionByName(again))
+            open_rows = cut_round(rest.join(out, "id", "left_anti").unionByName(again))
             continue
         decided = new if decided is None else decided.unionByName(new)
         told = new.select(F.col("id").alias("b"), (F.col("id") == F.col("leader")).alias("is_leader"))

@@ -59,6 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for rounds that read each other. A checkpoint keeps what the planner knows of its columns, and in
+    rounds that knowledge doubles each time; rows that pass an array of one struct have new columns, of which it knows nothing.
+    """
+    return cut_lineage(df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*"))
+
+
 def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """Fix an intermediate table that is joined to a large one: it is checkpointed, so every branch and retry sees the
     same rows, and computed once, whatever its size.
