@@ -43,7 +43,7 @@ def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
             again = _listed(out, more, decided)
             open_rows = cut_round(rest.join(out, "id", "left_anti").unionByName(again))
             continue
-        decided = new if decided is None else decided.unionByName(new)
+        decided = new if decided is None else cut_round(decided.unionByName(new))  # unions of unions take ever longer to plan
         told = new.select(F.col("id").alias("b"), (F.col("id") == F.col("leader")).alias("is_leader"))
         each = rest.select("id", "whole", F.explode_outer("near").alias("n")).select("id", "whole", "n.b", "n.leads")
         each = each.join(told, "b", "left").withColumn("leads", F.coalesce("leads", F.lit(False)) | F.coalesce("is_leader", F.lit(False)))
