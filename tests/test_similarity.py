@@ -232,6 +232,21 @@ def test_pairs_leave_a_chunk_block_by_block():
     assert max(sizes) <= D.BLOCK * D.ACROSS and len(sizes) < -(-9000 // D.BLOCK) * -(-9000 // D.ACROSS)
 
 
+@pytest.mark.parametrize("kind", ["list", "binary", "long"])
+def test_a_chunk_is_held_once_when_its_products_begin(kind):
+    rng = np.random.default_rng(20)
+    ids = rng.permutation(6000)
+    values = {"list": vectors(6000, dim=64, seed=20).tolist(), "binary": [rng.bytes(300) for _ in ids], "long": ids * 7}[kind]
+    parts = [pa.RecordBatch.from_pydict({"id": ids[a : a + 2000], "value": values[a : a + 2000]}) for a in range(0, 6000, 2000)]
+    want = pa.Table.from_batches(parts).sort_by("id").to_pydict()
+    held = pa.total_allocated_bytes()
+    size = sum(p.get_total_buffer_size() for p in parts)
+    side = D._side(parts)
+    assert side.ids.tolist() == want["id"] and side.values.to_pylist() == want["value"]
+    if kind != "long":  # numbers made by numpy are not Arrow's to free
+        assert pa.total_allocated_bytes() < held + 0.2 * size
+
+
 @pytest.mark.parametrize("cosines", [True, False])
 def test_single_precision_decides_nothing(cosines):
     rng = np.random.default_rng(19)
