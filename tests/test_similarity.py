@@ -1,5 +1,7 @@
 """Similarity joins and clusters against brute force, with small chunks so that cells and grids are exercised."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -247,6 +249,37 @@ def test_a_chunk_is_held_once_when_its_products_begin(kind):
         assert pa.total_allocated_bytes() < held + 0.2 * size
 
 
+def most_held(work) -> int:
+    """Bytes that Python and numpy hold at most during the work."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_rows_of_a_search_are_dealt_in_the_same_memory_however_many_they_are():
+    """A search without a limit: every row visits all five chunks of all 40 cells."""
+    cells, held = D.VectorCells(vectors(40, seed=21)), []
+    counts = np.arange(40), np.full(40, 5 * cells.chunk)
+    for n in (1000, 8000):
+        batch = pa.RecordBatch.from_pydict({"id": np.arange(n), "vec": vectors(n, seed=22).tolist(), "radius": np.full(n, 2.0)})
+        dealt = lambda b=batch: sum(x.num_rows for x in D.addressed(iter([b]), cells.visits, counts, counts, cells.chunk, True))
+        assert dealt() == n
+        held.append(most_held(dealt))
+    assert held[1] < 1.2 * held[0]
+
+
+def test_a_search_holds_the_products_of_two_blocks_at_most():
+    a, b, ids = vectors(9000, seed=23), vectors(12000, seed=24), np.arange(12000)
+    x, y, out = D.Side(ids[:9000], pa.array(a.tolist())), D.Side(ids, pa.array(b.tolist())), []
+    assert most_held(lambda: out.extend(D._cosine_best(0, x, y))) < 2.5 * 8 * D.BLOCK * D.ACROSS
+    (left, right, cosine), sims = out[0], a[:300] @ b.T
+    assert left.tolist() == x.ids.tolist() and right[:300].tolist() == sims.argmax(1).tolist()
+    assert np.allclose(cosine[:300], sims.max(1), atol=1e-14)
+
+
 @pytest.mark.parametrize("cosines", [True, False])
 def test_single_precision_decides_nothing(cosines):
     rng = np.random.default_rng(19)
