@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.operators.similarity import collapse_copies, earlier_neighbours
-from provspark.session import cut_lineage, cut_round
+from provspark.session import cut_lineage, cut_round, scratch
 
 
 #: Earlier neighbours of a row that are kept at a time.
@@ -27,15 +27,17 @@ def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
     alone = df.where(F.col("vec").isNull()).select("id", F.col("id").alias("leader"))
     rows = distinct.select("id", "vec")
     open_rows, decided = _listed(rows.select("id"), earlier_neighbours(rows, rows, at_least, NEIGHBOURS)), None
+    path = scratch(df.sparkSession, "leaders")  # each round adds the rows that it decides
     while True:
         first = F.get("near", F.lit(0))
         leader = F.when(first["leads"], first["b"]).when(F.size("near") == 0, F.when(F.col("whole"), F.col("id")))
         stepped = cut_round(open_rows.withColumn("leader", leader))
         new = stepped.where("leader is not null").select("id", "leader")
         rest = stepped.where("leader is null").drop("leader")
-        if new.isEmpty():
-            if rest.isEmpty():
-                break
+        left = stepped.agg(F.count("*").alias("rows"), F.count("leader").alias("new")).first()
+        if not left["rows"]:
+            break
+        if not left["new"]:
             # only lists that ran out are left to begin with
             out = rest.where((F.size("near") == 0) & ~F.col("whole")).select("id")
             followers = decided.where("id <> leader").select("id")
@@ -43,7 +45,8 @@ def leader_clusters(df: DataFrame, at_least: float) -> DataFrame:
             again = _listed(out, more, decided)
             open_rows = cut_round(rest.join(out, "id", "left_anti").unionByName(again))
             continue
-        decided = new if decided is None else cut_round(decided.unionByName(new))  # unions of unions take ever longer to plan
+        new.write.mode("append").parquet(path)
+        decided = df.sparkSession.read.schema(new.schema).parquet(path)
         told = new.select(F.col("id").alias("b"), (F.col("id") == F.col("leader")).alias("is_leader"))
         each = rest.select("id", "whole", F.explode_outer("near").alias("n")).select("id", "whole", "n.b", "n.leads")
         each = each.join(told, "b", "left").withColumn("leads", F.coalesce("leads", F.lit(False)) | F.coalesce("is_leader", F.lit(False)))

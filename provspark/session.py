@@ -60,10 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def cut_round(df: DataFrame) -> DataFrame:
-    """``cut_lineage`` for rounds that read each other. A checkpoint keeps what the planner knows of its columns, and in
-    rounds that knowledge doubles each time; rows that pass an array of one struct have new columns, of which it knows nothing.
+    """The rows of a round that the next one reads, in files of the shared folder.
+
+    A checkpoint keeps what the planner thought of its columns and of its size. Joins multiply sizes, so in rounds that guess
+    takes twice the digits each time, until it fills the driver's memory. Files tell how large they are.
     """
-    return cut_lineage(df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*"))
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:

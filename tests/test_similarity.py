@@ -324,3 +324,15 @@ def test_rounds_leave_the_planner_nothing_to_carry_on(spark):
         known.append(rows._jdf.queryExecution().optimizedPlan().constraints().size())
     assert max(known) <= 1
     assert sorted(map(tuple, rows.collect())) == [(i, i % 3) for i in range(50) if i % 3]
+
+
+def test_rounds_tell_the_planner_how_large_they_are(spark):
+    """Rounds that join each other: the planner's guess of a size does not grow with their number."""
+    from provspark.session import cut_round
+
+    rows = spark.range(50).selectExpr("id", "id % 7 as near")
+    for _ in range(6):
+        rows = cut_round(rows.join(rows.selectExpr("id as near"), "near").select("id", "near"))
+    guess = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert guess < 1 << 20
+    assert sorted(map(tuple, rows.collect())) == [(i, i % 7) for i in range(50)]
