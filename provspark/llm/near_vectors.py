@@ -15,8 +15,8 @@ from provspark.llm.components import components
 from provspark.operators.scan import row_index
 from provspark.session import cut_lineage
 
-#: Rows of a window, bits of a code that is sorted (a bucket's prefix comes first).
-WINDOW, BITS = 128, 40
+#: Rows of a window, bits of a code that is sorted (a bucket's prefix comes first), windows that are compared in one group.
+WINDOW, BITS, SPAN = 128, 40, 8
 #: A pair at the least cosine of interest is missed with at most about this chance.
 MISS = 0.005
 
@@ -38,41 +38,67 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda c: c != 0), F.lit(False))
 
 
-def _unit(column: pa.ListArray) -> list[np.ndarray]:
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    at = column.offsets.to_numpy()
-    rows = [flat[a:b] / np.abs(flat[a:b]).max() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return [r / np.sqrt(r @ r) for r in rows]
+def _units(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as rows, filled with zeros to the same width, and their sizes."""
+    size = np.diff(column.offsets.to_numpy())
+    inside = np.arange(size.max(initial=0)) < size[:, None]
+    x = np.zeros(inside.shape)
+    x[inside] = column.flatten().to_numpy(zero_copy_only=False)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x, size
 
 
 def _codes(batches: Iterator[pa.RecordBatch], n_passes: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
-    for batch in batches:
-        units = _unit(batch.column("v"))
+    for batch in filter(len, batches):
+        units, size = _units(batch.column("v"))
         code = np.zeros((len(units), n_passes), np.int64)
-        for width in {len(u) for u in units}:
+        for width in np.unique(size).tolist():
             if width not in planes:
                 planes[width] = np.random.default_rng([seed, width]).normal(size=(width, n_passes * BITS))
-            rows = [i for i, u in enumerate(units) if len(u) == width]
-            sign = (np.array([units[i] for i in rows]) @ planes[width] >= 0).reshape(len(rows), n_passes, BITS)
+            rows = np.flatnonzero(size == width)
+            sign = (units[rows, :width] @ planes[width] >= 0).reshape(len(rows), n_passes, BITS)
             code[rows] = sign @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
         out = pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1, dtype=np.int32) * n_passes), pa.array(code.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), out], ["id", "codes"])
 
 
-def _pairs_of(a: dict, b: dict | None, at_least: float, near: int) -> Iterator[tuple]:
-    """Verified pairs of one tile that no earlier pass compares, and all verified pairs."""
-    other = a if b is None else b
-    sim = a["x"] @ other["x"].T
-    if b is None:
-        sim = np.triu(sim, 1)
-    i, j = np.nonzero(sim >= at_least)
-    earlier = np.zeros(len(i), bool)
-    for q in range(near):
-        same = a["bucket"][i, q] == other["bucket"][j, q]
-        close = np.abs(a["block"][i, q] - other["block"][j, q]) <= 1
-        earlier |= same | close
-    return i, j, ~earlier
+def _pairs(t: pa.Table, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified pairs (i, j) of the rows of a group, and which of them no earlier pass compares.
+
+    Rows meet those of their block and of the next one; in a group of one bucket, those of the other block only.
+    """
+    x, size = _units(t.column("v").chunk(0))
+    block, in_bucket = t.column("block").to_numpy(), t.column("in_bucket")[0].is_valid
+    blocks, at = np.unique(block, return_inverse=True)
+    members = [np.flatnonzero(at == k) for k in range(len(blocks))]
+    if in_bucket:
+        meet = [(0, 1)] if len(blocks) > 1 else []
+    else:
+        own = [k for k in range(len(blocks)) if blocks[k] // SPAN == t.column("tile")[0].as_py()]  # the rest is compared in the next group
+        meet = [(k, k) for k in own] + [(k, k + 1) for k in own if k + 1 < len(blocks) and blocks[k + 1] == blocks[k] + 1]
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in meet:
+        near = x[members[a]] @ x[members[b]].T >= at_least
+        i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+        found.append(np.stack([members[a][i], members[b][j]]))
+    i, j = np.concatenate(found, axis=1)
+    alike = size[i] == size[j]  # vectors of other lengths never link
+    i, j = i[alike], j[alike]
+    blocks_of, buckets_of = (t.column(c).chunk(0).flatten().to_numpy().reshape(len(x), -1) for c in ("blocks", "buckets"))
+    new = np.ones(len(i), bool)
+    for q in range(blocks_of.shape[1]):
+        new &= (buckets_of[i, q] != buckets_of[j, q]) & (np.abs(blocks_of[i, q] - blocks_of[j, q]) > 1)
+    return i, j, new
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """The rows in groups of neighbouring blocks, for each pass: the first block of a span ends the span before, too."""
+    span = F.floor(F.col("block") / SPAN).cast("int")
+    spans = F.when((F.col("block") % SPAN == 0) & (F.col("block") > 0), F.array(span, span - 1)).otherwise(F.array(span))
+    placed = rows.select("*", F.posexplode("blocks").alias("pass", "block")).withColumn("tile", F.explode(spans))
+    return placed.withColumns({"other": F.lit(-1), "in_bucket": F.lit(None).cast("long")})
 
 
 def links(distinct: DataFrame, at_least: float, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +106,10 @@ def links(distinct: DataFrame, at_least: float, seed: int = 11) -> tuple[DataFra
 
     Each pass sorts all vectors by a code of ``BITS`` signs of random projections and cuts the order into blocks of
     ``WINDOW`` rows. Compared are rows of one block, of neighbouring blocks, and of one bucket (equal first bits of the
-    code), however large: a bucket over more blocks is compared block by block. A pair that several passes compare is
-    counted in the first of them: which that is follows from the blocks and buckets that each row carries. Edges are a
-    spanning forest of each tile's links, so no task emits the pairs of a group.
+    code), however large: a bucket over more blocks is compared block by block. A group holds ``SPAN`` blocks and the one
+    that follows, so a row travels little more than once in a pass. A pair that several passes compare is counted in the
+    first of them: which that is follows from the blocks and buckets of earlier passes, which each row carries. Edges are a
+    spanning forest of each group's links, so no task emits the pairs of a group.
     """
     n = distinct.count()
     n_passes, bits = passes_for(n, at_least)
@@ -98,56 +125,27 @@ def links(distinct: DataFrame, at_least: float, seed: int = 11) -> tuple[DataFra
     placed = cut_lineage(placed)
     carried = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pass", "block", "bucket"))).alias("p"))
     rows = cut_lineage(distinct.join(carried, "id").select(
-        "id", "v", "weight", F.col("p.block").alias("block"), F.col("p.bucket").alias("bucket")
+        "id", "v", "weight", F.col("p.block").alias("blocks"), F.col("p.bucket").alias("buckets")
     ))
+    # pairs of blocks that only a bucket joins
     wide = placed.groupBy("pass", "bucket").agg(F.min("block").alias("low"), F.max("block").alias("high"))
     wide = wide.where("high - low >= 2")
-    member = placed.select("id", "pass", "block", "bucket")
-    own = member.select("id", "pass", F.col("block").alias("a"), F.col("block").alias("b"))
-    before = member.select("id", "pass", F.col("block").alias("a"), (F.col("block") + 1).alias("b"))
-    after = member.where("block > 0").select("id", "pass", (F.col("block") - 1).alias("a"), F.col("block").alias("b"))
-    far = member.join(wide, ["pass", "bucket"]).select(
-        "id", "pass", F.explode(F.sequence("low", "high")).alias("o"), "block", "bucket"
+    far = placed.join(wide, ["pass", "bucket"]).select(
+        "id", "pass", "block", F.explode(F.sequence("low", "high")).alias("o"), F.col("bucket").alias("in_bucket")
     ).where("abs(o - block) >= 2")
-    far = far.select("id", "pass", F.least("o", "block").alias("a"), F.greatest("o", "block").alias("b"), "bucket")
-    none = F.lit(None).cast("long").alias("in_bucket")
-    tiles = (
-        own.select("*", none).unionByName(before.select("*", none)).unionByName(after.select("*", none))
-        .unionByName(far.withColumnRenamed("bucket", "in_bucket"))
-    )
+    far = far.select("id", "pass", "block", F.least("o", "block").alias("tile"), F.greatest("o", "block").alias("other"), "in_bucket")
+    met = neighbours(rows).unionByName(far.join(rows, "id"))
+    met = met.withColumns({c: F.slice(c, 1, F.col("pass")) for c in ("blocks", "buckets")})
 
     def compare(t: pa.Table) -> pa.Table:
-        first = t.column("pass")[0].as_py(), t.column("a")[0].as_py(), t.column("b")[0].as_py()
-        p, a_no, b_no = first
         t = t.combine_chunks()
-        data = {
-            "id": t.column("id").to_numpy(), "w": t.column("weight").to_numpy(),
-            "block": np.array(t.column("block").to_pylist()), "bucket": np.array(t.column("bucket").to_pylist()),
-        }
-        vectors = _unit(t.column("v").chunk(0)) if t.num_rows else []
-        width = max(map(len, vectors))
-        x = np.zeros((len(vectors), width + 1))
-        for i, v in enumerate(vectors):
-            x[i, : len(v)] = v
-        size = np.array([len(v) for v in vectors])
-        data["x"] = x[:, :width]
-
-        def side(block: int) -> dict:
-            rows = np.flatnonzero(data["block"][:, p] == block)
-            return {k: v[rows] for k, v in data.items()} | {"size": size[rows]}
-
-        left, right = side(a_no), None if a_no == b_no else side(b_no)
-        i, j, new = _pairs_of(left, right, at_least, p)
-        other = left if right is None else right
-        alike = left["size"][i] == other["size"][j]  # vectors of other lengths never link
-        i, j, new = i[alike], j[alike], new[alike]
-        if not len(i):
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        ids, place = np.unique(np.concatenate([left["id"][i], other["id"][j]]), return_inverse=True)
+        i, j, new = _pairs(t, at_least)
+        id_, weight = t.column("id").to_numpy(), t.column("weight").to_numpy()
+        ids, place = np.unique(np.concatenate([id_[i], id_[j]]), return_inverse=True)
         u, v = place[: len(i)], place[len(i) :]
         count = np.zeros(len(ids), np.int64)
-        np.add.at(count, u[new], other["w"][j[new]])
-        np.add.at(count, v[new], left["w"][i[new]])
+        np.add.at(count, u[new], weight[j[new]])
+        np.add.at(count, v[new], weight[i[new]])
         root = np.arange(len(ids))
         while True:  # least label of linked rows, until none falls
             low = root.copy()
@@ -159,9 +157,8 @@ def links(distinct: DataFrame, at_least: float, seed: int = 11) -> tuple[DataFra
             root = low
         return pa.table({"id": ids, "n": count, "to": ids[root]})
 
-    # one row per tile and member; a tile has at most two blocks
-    met = tiles.join(rows, "id").withColumn("in_bucket", F.coalesce("in_bucket", F.lit(-1)))
-    found = met.groupBy("pass", "a", "b", "in_bucket").applyInArrow(compare, "id long, n long, to long")
+    # one row per group and member; a group has at most SPAN + 1 blocks
+    found = met.groupBy("pass", "tile", "other", "in_bucket").applyInArrow(compare, "id long, n long, to long")
     found = cut_lineage(found)
     return (
         found.groupBy("id").agg(F.sum("n").alias("n")),

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from provspark.llm import near_vectors
-from provspark.llm.near_vectors import near_duplicates, passes_for
+from provspark.llm.near_vectors import near_duplicates, neighbours, passes_for
 from provspark.llm.near_vectors_query import op9
 
 
@@ -90,3 +90,19 @@ def test_pairs_just_above_the_limit_are_found_in_many_windows(spark, monkeypatch
 def test_passes_follow_the_least_cosine():
     assert [passes_for(n, 0.9)[0] for n in (50_000, 10**6, 10**7, 3 * 10**7)] == [19, 38, 72, 84]
     assert passes_for(10**6, 0.95)[0] < passes_for(10**6, 0.9)[0] and passes_for(10**6, 1.0)[0] == 4
+
+
+def test_rows_travel_little_more_than_once_in_a_pass(spark):
+    """Rows of neighbouring blocks share a group in each pass, which only the first block of a span leaves for a second one."""
+    n, passes = 100 * 50, 3
+    blocks = [[int(b) for b in (np.roll(np.arange(n), 7 * p) // 50)] for p in range(passes)]
+    rows = spark.createDataFrame([(i, list(b)) for i, b in enumerate(zip(*blocks, strict=True))], "id long, blocks array<int>")
+    met = neighbours(rows).select("pass", "tile", "id", "block").collect()
+    assert len(met) <= (1 + 1 / near_vectors.SPAN) * passes * n
+    groups = {}
+    for p, tile, _, block in met:
+        groups.setdefault((p, tile), set()).add(block)
+    for p in range(passes):
+        for b in range(100):
+            own = groups[p, b // near_vectors.SPAN]
+            assert b in own and (b == 99 or b + 1 in own)
