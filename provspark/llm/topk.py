@@ -18,6 +18,8 @@ BLOCK, BUCKET, QUERIES = 4096, 256, 512
 #: A bucket is searched by coordinates where the local threshold is at least this cosine, else by length.
 STEEP = 0.5
 LARGEST, NO_BOUND = 1 << 62, -(1 << 63)
+#: Below it doubles hold every sum of products of integers as it is.
+EXACT = 1 << 52
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
@@ -32,23 +34,36 @@ def integers(vector: Column, scale: int = 256) -> Column:
     return F.when(fine & (F.size(vector) > 0), x)
 
 
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of integers, filled with zeros to ``width``."""
+    inside = np.arange(width) < np.diff(column.offsets.to_numpy())[:, None]
+    x = np.zeros(inside.shape, np.int64)
+    x[inside] = column.flatten().to_numpy(zero_copy_only=False)
+    return x
+
+
 def _pack(batches: Iterator[pa.RecordBatch], most: int, width: int) -> Iterator[pa.RecordBatch]:
     """Blocks of at most ``most`` rows in the order given: ids and rows of integers padded to ``width``."""
-    ids, rows = [], []
+    ids, rows, held = [], [], 0
 
     def block() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [blobs([np.array(ids, np.int64).tobytes()]), blobs([np.vstack(rows).tobytes()])], ["ids", "rows"]
+            [blobs([np.concatenate(ids).tobytes()]), blobs([np.concatenate(rows).tobytes()])], ["ids", "rows"]
         )
 
     for batch in batches:
-        for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            ids.append(i)
-            rows.append(np.pad(np.array(v, np.int64), (0, width - len(v))))
-            if len(ids) == most:
+        own, x = batch.column("id").to_numpy(), _matrix(batch.column("v"), width)
+        at = 0
+        while at < len(x):
+            upto = at + most - held
+            ids.append(own[at:upto])
+            rows.append(x[at:upto])
+            held += len(rows[-1])
+            at = upto
+            if held == most:
                 yield block()
-                ids, rows = [], []
-    if ids:
+                ids, rows, held = [], [], 0
+    if held:
         yield block()
 
 
@@ -57,6 +72,27 @@ def _blocks(df: DataFrame, most: int, width: int) -> DataFrame:
     return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
+class Queries:
+    """A block of queries: what the search reads of them, and the best of each so far."""
+
+    def __init__(self, ids: bytes, rows: bytes, width: int):
+        self.ids, self.x = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, width)
+        self.size = np.sqrt((self.x.astype(float) ** 2).sum(axis=1))
+        self.unit = self.x / np.maximum(self.size, 1e-300)[:, None]
+        self.telling = np.argsort(-np.abs(self.unit), axis=1)[:, :2]  # their longest coordinates
+        self.best_ids, self.best = ([np.zeros(0, np.int64)] * len(self.ids) for _ in range(2))
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray, k: int) -> int:
+        """The best ``k`` of what there was and these; their least score, if there are so many."""
+        ids, best = np.concatenate([self.best_ids[q], ids]), np.concatenate([self.best[q], scores])
+        if len(best) > k:
+            order = np.lexsort((ids, -best)) if best.dtype != object else np.array(sorted(range(len(best)), key=lambda i: (-best[i], ids[i])), np.int64)
+            ids, best = ids[order[:k]], best[order[:k]]
+        self.best_ids[q], self.best[q] = ids, best
+        least = int(best.min()) if len(best) == k else NO_BOUND
+        return least if least >= NO_BOUND else NO_BOUND
+
+
 class Candidates:
     """One block: buckets of like length, longest first, with unit vectors for the pruning."""
 
@@ -67,50 +103,51 @@ class Candidates:
         self.ids, self.x, self.length = np.frombuffer(ids, np.int64)[order], x[order], length[order]
         self.unit = self.x / np.maximum(self.length, 1e-300)[:, None]
 
-    def search(self, query: np.ndarray, own: int, least: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of this block's k best among those that score at least ``least``; later buckets need more."""
-        size = float(np.sqrt((query.astype(float) ** 2).sum()))
-        unit = query / max(size, 1e-300)
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def search(self, queries: Queries, least: np.ndarray, k: int) -> np.ndarray:
+        """Each query gets this block's k best among those that score at least its ``least``; later buckets need more.
+        Returns what they need in the end."""
+        least = least.copy()
         for a in range(0, len(self.ids), BUCKET):
-            b = min(a + BUCKET, len(self.ids))
-            rows = np.arange(a, b)
-            if least is not None and least > 0:
-                longest = size * self.length[a]
-                if longest < least * (1 - 1e-9):
-                    break  # this bucket and all shorter ones stay below
-                if least / longest >= STEEP:
-                    rows = a + self._by_coordinates(a, b, unit, least / longest)
-                else:
-                    rows = rows[self.length[a:b] * size >= least * (1 - 1e-9)]
-            rows = rows[self.ids[rows] != own]
-            scores = self._products(rows, query, size * self.length[a])
-            if least is not None:
-                rows, scores = rows[scores >= least], scores[scores >= least]
-            best_ids, best = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, scores])
-            if len(best) >= k:
-                order = np.lexsort((best_ids, -best))[:k] if best.dtype != object else np.array(sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i])), np.int64)[:k]
-                best_ids, best = best_ids[order], best[order]
-                least = int(best[-1])
-        return best_ids, best
-
-    def _products(self, rows: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
-        """Exact products: sums of longs are right whenever the product itself fits in one, which the bound on its size
-        tells; others are taken in integers of any size."""
+            rows = slice(a, min(a + BUCKET, len(self.ids)))
+            asking = np.flatnonzero((least <= 0) | (queries.size * self.length[a] >= least * (1 - 1e-9)))
+            if not len(asking):
+                break  # this bucket and all shorter ones stay below
+            good = self._within(rows, queries, asking, least[asking]) & (self.ids[rows] != queries.ids[asking, None])
+            asking, good = asking[good.any(axis=1)], good[good.any(axis=1)]
+            scores = self._products(rows, queries.x[asking], queries.size[asking].max(initial=0) * self.length[a])
+            good &= (scores >= least[asking, None]) | (least[asking, None] == NO_BOUND)
+            for n in np.flatnonzero(good.any(axis=1)):
+                q, hit = asking[n], np.flatnonzero(good[n])
+                now = queries.add(q, self.ids[a + hit], scores[n, hit], k)
+                least[q] = max(least[q], min(now, -NO_BOUND - 1))
+        return least
+
+    def _products(self, rows: slice, asked: np.ndarray, bound: float) -> np.ndarray:
+        """Exact products, a row for each query: the bound on their size tells whether doubles hold all sums of integers
+        as they are, or longs do; others are taken in integers of any size."""
+        if bound < EXACT:
+            return (asked.astype(float) @ self.x[rows].T.astype(float)).astype(np.int64)
         if bound < LARGEST:
-            return self.x[rows] @ query
-        return self.x[rows].astype(object) @ query.astype(object) if len(rows) else np.zeros(0, object)
-
-    def _by_coordinates(self, a: int, b: int, unit: np.ndarray, cosine: float) -> np.ndarray:
-        """Rows whose two most telling coordinates lie where a vector within the cosine of the query must have them."""
-        cosine = min(cosine, 1.0)
-        good = np.ones(b - a, bool)
-        for f in np.argsort(-np.abs(unit))[:2]:
-            side = np.sqrt(max(0.0, 1 - unit[f] ** 2) * (1 - cosine**2))
-            low = -1.0 if unit[f] <= -cosine else unit[f] * cosine - side
-            high = 1.0 if unit[f] >= cosine else unit[f] * cosine + side
-            good &= (self.unit[a:b, f] >= low - 1e-9) & (self.unit[a:b, f] <= high + 1e-9)
-        return np.flatnonzero(good)
+            return asked @ self.x[rows].T
+        return asked.astype(object) @ self.x[rows].T.astype(object) if len(asked) else np.zeros((0, rows.stop - rows.start), object)
+
+    def _within(self, rows: slice, queries: Queries, asking: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which rows of a bucket can reach each query's threshold: those that are long enough, or, where that is a cosine
+        of ``STEEP`` or more, those whose coordinates are where a vector within it must have the query's two longest."""
+        size = queries.size[asking]
+        floor = np.where(least > 0, least * (1 - 1e-9), -np.inf)
+        good = size[:, None] * self.length[rows] >= floor[:, None]
+        cosine = np.where(least > 0, least / np.maximum(size * self.length[rows.start], 1e-300), 0.0)
+        steep = np.flatnonzero(cosine >= STEEP)
+        cosine, unit = np.minimum(cosine[steep], 1.0), queries.unit[asking[steep]]
+        for f in queries.telling[asking[steep]].T:
+            of = unit[np.arange(len(f)), f]
+            side = np.sqrt(np.maximum(0.0, 1 - of**2) * (1 - cosine**2))
+            low = np.where(of <= -cosine, -1.0, of * cosine - side)
+            high = np.where(of >= cosine, 1.0, of * cosine + side)
+            there = self.unit[rows].T[f]
+            good[steep] &= (there >= low[:, None] - 1e-9) & (there <= high[:, None] + 1e-9)
+        return good
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -143,11 +180,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         for batch in batches:
             out = []
             for ids, rows in zip(batch.column("ids").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                least = []
-                for i, x in zip(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, width), strict=True):
-                    scores = block.search(x, int(i), None, k)[1]
-                    least.append(max(NO_BOUND + 1, min(int(scores[-1]), -NO_BOUND - 1)) if len(scores) == k else NO_BOUND)
-                out.append(np.array(least, np.int64).tobytes())
+                asked = Queries(ids, rows, width)
+                out.append(block.search(asked, np.full(len(asked.ids), NO_BOUND), k).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("ids"), batch.column("rows"), blobs(out)], ["q_ids", "q_rows", "bound"]
             )
@@ -160,14 +194,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                block = Candidates(r["ids"], r["rows"], width)
-                q, v, s = [], [], []
-                own, bound = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["bound"], np.int64)
-                for i, x, least in zip(own, np.frombuffer(r["q_rows"], np.int64).reshape(-1, width), bound, strict=True):
-                    ids, scores = block.search(x, int(i), None if least == NO_BOUND else int(least), k)
-                    q.append(np.full(len(ids), i))
-                    v.append(ids)
-                    s.append(long(scores))
+                asked = Queries(r["q_ids"], r["q_rows"], width)
+                Candidates(r["ids"], r["rows"], width).search(asked, np.frombuffer(r["bound"], np.int64), k)
+                q = [np.full(len(v), i) for i, v in zip(asked.ids, asked.best_ids, strict=True)]
+                v, s = asked.best_ids, [long(x) for x in asked.best]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)], ["query_id", "vec_id", "score"]
                 )

@@ -50,3 +50,19 @@ def test_fewer_candidates_and_empty(spark):
     assert got == {(0, 1, 1, 256 * 512), (0, 2, 2, -256 * 256)}
     assert top_k(df.limit(0), F.lit(True)).collect() == []
     assert top_k(df, F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("scale", [100, 1 << 20, 1 << 24, 1 << 30])
+def test_a_bucket_is_multiplied_once_for_all_queries(monkeypatch, scale):
+    """Products in doubles, longs and integers of any size are exact, and their number does not follow the queries."""
+    rng, calls = np.random.default_rng(2), []
+    products = topk.Candidates._products
+    monkeypatch.setattr(topk.Candidates, "_products", lambda self, *a: calls.append(1) or products(self, *a))
+    x, ids = rng.integers(-scale, scale, (1000, 16)), np.arange(1000)
+    block, asked = topk.Candidates(ids.tobytes(), x.tobytes(), 16), topk.Queries(ids[:90].tobytes(), x[:90].tobytes(), 16)
+    block.search(asked, np.full(90, topk.NO_BOUND), 5)
+    assert len(calls) <= -(-1000 // topk.BUCKET)
+    scores = x[:90].astype(object) @ x.T.astype(object)
+    for q in range(90):
+        want = sorted((-scores[q, j], j) for j in range(1000) if j != q)[:5]
+        assert sorted((-int(s), int(i)) for s, i in zip(asked.best[q], asked.best_ids[q], strict=True)) == want
