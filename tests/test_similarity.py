@@ -336,3 +336,10 @@ def test_rounds_tell_the_planner_how_large_they_are(spark):
     guess = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert guess < 1 << 20
     assert sorted(map(tuple, rows.collect())) == [(i, i % 7) for i in range(50)]
+
+
+def test_chunks_of_text_vectors_stay_few_at_millions_of_rows():
+    """Each row travels once for each chunk that it meets; a chunk has a ceiling, so that a worker's memory has one, too."""
+    for n in (50_000, 250_000, 3_000_000):
+        assert -(-n // D.chunk_rows(n, packed=True)) <= D.CHUNKS + 1
+    assert D.chunk_rows(10**9, packed=True) == 4 * D.WIDEST and D.chunk_rows(10**9, packed=False) == D.WIDEST
