@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.session import bounded_batches, cut_lineage, settle  # noqa: F401
+from provspark.session import bounded_batches, cut_lineage, release, settle  # noqa: F401
 
 U64 = np.uint64
 #: Resident bytes from which a worker gives memory back after a task.
@@ -144,11 +144,3 @@ def tidied(run: Callable) -> Callable:
                 trim(0)
 
     return task
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files behind a checkpoint: Spark deletes those of plans that the driver no longer refers to, but
-    only when its garbage is collected, which may be long after the disk is full."""
-    for _ in range(2):  # plans refer to each other over the border of Python and the JVM
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()

@@ -343,3 +343,26 @@ def test_chunks_of_text_vectors_stay_few_at_millions_of_rows():
     for n in (50_000, 250_000, 3_000_000):
         assert -(-n // D.chunk_rows(n, packed=True)) <= D.CHUNKS + 1
     assert D.chunk_rows(10**9, packed=True) == 4 * D.WIDEST and D.chunk_rows(10**9, packed=False) == D.WIDEST
+
+
+def test_sorted_pairs_let_go_of_the_shuffle_of_the_search(spark, monkeypatch):
+    """What the search wrote to shuffles is gone when the sort begins."""
+    from pathlib import Path
+    from time import sleep
+
+    manager = spark.sparkContext._jsc.env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = [p for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*.data")]
+        return {p for p in files if p.exists() and p.stat().st_size}
+
+    before = shuffled()
+    pairs = lambda spark, sf: spark.range(5000).selectExpr("id % 100 as a_id", "id as b_id", "1d as cosine").repartition(4, "a_id")
+    monkeypatch.setattr(Q, "j12", pairs)
+    out = Q.t04(spark, "")
+    for _ in range(50):  # files are deleted in the background
+        if not shuffled() - before:
+            break
+        sleep(0.1)
+    assert not shuffled() - before
+    assert out.count() == 5000
